@@ -4,8 +4,8 @@ Every document of a source has the same expected multiplicity, target over sourc
 sure; the rest is an inclusion probability, moved to 0 or 1 by the cube method so that the source's token total and
 document total stay where they are. The flight phase keeps a window of three fractional units: two balancing rows
 leave a one-dimensional null space, a random step along it keeps both totals and settles at least one unit. Blocks of
-a source fly on their own, their unsettled units (two at most) fly on together, and the last two land on the nearer
-vertex. Randomness is a hash of ids and a seed, so reruns agree.
+a source fly on their own, and their unsettled units fly on together. A dozen units of all sizes wait out the flight;
+they and the last two land on the vertex whose totals are nearest. Randomness is a hash of ids and a seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ BLOCK_DOCS = 20_000
 #: Sources whose totals may be gathered to set the targets.
 MAX_SOURCES = 200_000
 EPS = 1e-9
+#: Units of a block that wait for the landing.
+RESERVE = 12
 
 
 def source_targets(sizes: Sequence[float], weights: Sequence[float], share: float, most: float) -> list[float]:
@@ -52,13 +54,24 @@ def source_targets(sizes: Sequence[float], weights: Sequence[float], share: floa
     return out
 
 
+def reserve(sizes: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    """Up to RESERVE fractional units, spread evenly over the ranks of positive sizes, that wait for the landing."""
+    open_ = np.flatnonzero((probs > EPS) & (probs < 1 - EPS) & (sizes > 0))
+    by_size = open_[np.argsort(sizes[open_], kind="stable")]
+    return by_size[np.unique(np.linspace(0, len(by_size) - 1, min(RESERVE, len(by_size))).round().astype(int))] if len(by_size) else by_size
+
+
 def flight(sizes: np.ndarray, probs: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Move probabilities to 0 or 1 along null vectors of (size, count); at most two units stay fractional."""
+    """Move probabilities to 0 or 1 along null vectors of (size, count).
+
+    Both totals are kept. At most two units and the landing's reserve stay fractional.
+    """
     p = probs.astype(float).tolist()
     size, u = sizes.astype(float).tolist(), draws.tolist()
+    waits = set(reserve(sizes, probs).tolist())
     window: list[int] = []
     for unit in range(len(p)):
-        if EPS < p[unit] < 1 - EPS:
+        if EPS < p[unit] < 1 - EPS and unit not in waits:
             window.append(unit)
         while len(window) >= 3:
             i, j, k = window
@@ -84,17 +97,15 @@ def flight(sizes: np.ndarray, probs: np.ndarray, draws: np.ndarray) -> np.ndarra
 
 
 def landing(sizes: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """Settle the few units that the flight left: the vertex whose token total, then count, is nearest."""
-    open_ = [i for i in range(len(probs)) if EPS < probs[i] < 1 - EPS]
-    best, tokens, count = None, sum(sizes[i] * probs[i] for i in open_), sum(probs[i] for i in open_)
-    for code in range(1 << len(open_)):
-        on = [i for b, i in enumerate(open_) if code >> b & 1]
-        miss = (abs(sum(sizes[i] for i in on) - tokens), abs(len(on) - count), code)
-        if best is None or miss < best[0]:
-            best = (miss, on)
+    """Settle the units that the flight left, RESERVE + 2 at most: the vertex whose totals are nearest.
+
+    A missing document weighs as much as a fiftieth of a mean unit's tokens.
+    """
+    open_ = np.flatnonzero((probs > EPS) & (probs < 1 - EPS))
+    on = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    miss = np.abs(on @ sizes[open_] - sizes[open_] @ probs[open_]) + 0.02 * (sizes[open_].mean() if len(open_) else 0) * np.abs(on.sum(axis=1) - probs[open_].sum())
     out = np.round(probs)
-    out[open_] = 0.0
-    out[best[1]] = 1.0
+    out[open_] = on[int(miss.argmin())]
     return out
 
 
@@ -137,17 +148,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             draw, size, prob = (rows[c].to_numpy() for c in ("draw", "size", "prob"))
             u = (draw.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) / float(1 << 53)
             prob = flight(size, prob, u)
-            return rows.set_column(rows.column_names.index("prob"), "prob", pa.array(landing(size, prob) if last else prob))
+            return rows.set_column(rows.column_names.index("prob"), "prob", pa.array(landing(size, prob) if last else prob, pa.float64()))
 
         return run
 
     flown = store(known.select(*[c.split()[0] for c in shape.split(", ")]).groupBy("source_no", "block").applyInArrow(fly(False), shape), "mix-flown")
     fractional = (F.col("prob") > EPS) & (F.col("prob") < 1 - EPS)
     settled, rest = flown.where(~fractional), flown.where(fractional)
-    # Two units a block at most are left, so the blocks of the largest source shrink ten-thousandfold a round.
+    # A block leaves RESERVE + 2 units at most, so the blocks of the largest source shrink more than thousandfold a round.
+    left = RESERVE + 2
     most_blocks = max((p[5] for p in plan), default=1)
-    while most_blocks > BLOCK_DOCS // 2:
-        most_blocks = math.ceil(2 * most_blocks / BLOCK_DOCS)
+    while left * most_blocks > BLOCK_DOCS:
+        most_blocks = math.ceil(left * most_blocks / BLOCK_DOCS)
         again = store(rest.withColumn("block", F.pmod(F.col("draw"), F.lit(most_blocks))).groupBy("source_no", "block").applyInArrow(fly(False), shape), "mix-flown")
         settled, rest = settled.unionByName(again.where(~fractional)), again.where(fractional)
     done = settled.unionByName(rest.groupBy("source_no").applyInArrow(fly(True), shape))

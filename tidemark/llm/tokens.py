@@ -55,22 +55,22 @@ class PieceCounter:
         n = len(text)
         if n <= chunk:
             return len(self.model.encode(text))
-        total, start, splice = 0, 0, 0  # tokens before `splice` are counted; the chunk from `start` is being read
+        total, start, splice = 0, 0, -1  # tokens before `splice` are counted; the chunk from `start` is being read
         stop = min(n, start + chunk)
         ends = self.boundaries(text[start:stop])
         while stop < n:
             lap = overlap
             while True:
-                left = max(splice, stop - lap)
+                left = max(splice, stop - lap, 0)
                 right = min(n, left + max(chunk, 2 * lap))
                 there = self.boundaries(text[left:right])
                 known = {start + e for e in ends}
                 common = [left + e for e in there if left < left + e < stop and left + e in known and left + e > splice and self.stable(text, left + e)]
                 if common:
                     break
-                if left == splice and right == n:
+                if left <= max(splice, 0) and right == n:
                     break
-                if left == splice:  # no splice in the whole chunk: let it grow
+                if left <= max(splice, 0):  # no splice in the whole chunk: let it grow
                     stop = min(n, stop + lap)
                     ends = self.boundaries(text[start:stop])
                     if stop == n:
@@ -84,7 +84,7 @@ class PieceCounter:
             cut = common[len(common) // 2]
             total += sum(splice < start + e <= cut for e in ends)
             start, splice, stop, ends = left, cut, right, there
-        return total + sum(start + e > splice for e in ends) + (start == 0 and splice == 0) * sum(e == 0 for e in ends)
+        return total + sum(start + e > splice for e in ends)
 
 
 @lru_cache(maxsize=4)
