@@ -1,8 +1,8 @@
 """Byte-level BPE with a rank queue of hierarchical bitmaps.
 
 The pre-tokens of the public pattern are encoded one by one. Within a pre-token the parts form a linked list of byte
-positions. Each mergeable pair waits in the bucket of its merge rank; a three-level bitmap over the ranks finds the
-lowest bucket that is not empty with three find-first-set steps, so a merge costs the same in a pre-token of a million
+positions. Each mergeable pair waits in the bucket of its merge rank; a hierarchical bitmap over the ranks finds the
+lowest bucket that is not empty with two find-first-set steps, so a merge costs the same in a pre-token of a million
 bytes as in a word. Entries are not deleted when a neighbour changes: an entry whose pair no longer has the bucket's
 rank is stale and skipped.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import pyarrow as pa
 import public_tokenizers
@@ -23,49 +22,53 @@ from tidemark.llm.texts import id_type, map_batches
 from tidemark.sources.tables import pick
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-#: Distinct pre-tokens whose encodings a worker keeps, and the longest that it keeps.
-KEPT, KEPT_BYTES = 250_000, 64
+#: Distinct pre-tokens in each of the two generations of encodings that a worker keeps, and the longest that it keeps.
+KEPT, KEPT_BYTES = 350_000, 64
+
+
+#: Above every rank: the pair can't merge.
+NEVER = 1 << 60
 
 
 class RankQueue:
-    """Positions in buckets by merge rank; the lowest rank first, and within it the leftmost position."""
+    """Positions in buckets by merge rank, under a two-level bitmap of 256-bit words."""
 
     def __init__(self, ranks: int) -> None:
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (ranks // 4096 + 1)
+        self.low = [0] * ((ranks >> 8) + 1)
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
+        """Let a position wait in the bucket of its rank."""
         bucket = self.buckets.get(rank)
         if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
+            self.put(rank, [position])
+        else:
+            bucket.append(position)
+
+    def put(self, rank: int, positions: list[int]) -> None:
+        """Fill the bucket of a rank that has none, or add to one that has."""
+        if rank in self.buckets:
+            self.buckets[rank] += positions
         else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """Remove and return (rank, position); the queue must not be empty."""
-        a = (self.top & -self.top).bit_length() - 1
-        word = self.mid[a]
-        b = a << 6 | (word & -word).bit_length() - 1
-        word = self.low[b]
-        rank = b << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= self.low[b] - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, position
-
-    def __bool__(self) -> bool:
-        return bool(self.top)
+            self.buckets[rank] = positions
+            self.low[rank >> 8] |= 1 << (rank & 255)
+            self.top |= 1 << (rank >> 8)
+
+    def take(self) -> tuple[int, list[int]]:
+        """Remove the bucket of the lowest rank; its positions come rightmost first, to be popped leftmost first."""
+        top = self.top
+        word = (top & -top).bit_length() - 1
+        bits = self.low[word]
+        rank = word << 8 | (bits & -bits).bit_length() - 1
+        bits &= bits - 1
+        self.low[word] = bits
+        if not bits:
+            self.top = top & (top - 1)
+        positions = self.buckets.pop(rank)
+        if len(positions) > 1:
+            positions.sort(reverse=True)
+        return rank, positions
 
 
 class ByteBPE:
@@ -74,37 +77,70 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.byte_ids = [ranks.get(bytes([b])) for b in range(256)]
+        #: (left id, right id) -> rank of the token that their bytes make together.
+        self.pairs = {left << 32 | right: rank for token, rank in ranks.items() for k in range(1, len(token)) if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None}
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0))
-        self.kept: dict[str, tuple[int, str, bytes]] = {}
+        self.young: dict[str, tuple[int, str, bytes]] = {}
+        self.old: dict[str, tuple[int, str, bytes]] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        if (whole := ranks.get(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        after, before = list(range(1, n + 2)), list(range(-1, n))
+        n, queue, pair = len(piece), self.queue, self.pairs.get
+        push, take = queue.push, queue.take
+        ids = [self.byte_ids[b] for b in piece]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # rank[i]: of the pair that begins at part i. Only a pair that no neighbour precedes can be next, so only those wait.
+        rank = [pair(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        rank.append(NEVER)
+        left = NEVER
         for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                queue.push(r, i)
-        while queue:
-            rank, i = queue.pop()
-            j = after[i] if i >= 0 else n
-            if j >= n or before[i] == -2 or ranks.get(piece[i : after[j]]) != rank:
-                continue  # stale
-            k = after[j]
-            after[i], before[j] = k, -2
-            if k < n:
-                before[k] = i
-                if (r := ranks.get(piece[i : after[k]])) is not None:
-                    queue.push(r, i)
-            if (h := before[i]) >= 0 and (r := ranks.get(piece[h:k])) is not None:
-                queue.push(r, h)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return out
+            r = rank[i]
+            if r < left and r <= rank[i + 1]:
+                push(r, i)
+            left = r
+        while queue.top:
+            lowest, positions = take()
+            while positions:
+                i = positions.pop()
+                if rank[i] != lowest:
+                    continue  # stale
+                j = after[i]
+                after[i] = k = after[j]
+                ids[i], ids[j] = lowest, -1
+                old_j, rank[j] = rank[j], NEVER
+                new, beyond = NEVER, NEVER
+                if k < n:
+                    before[k] = i
+                    new, beyond = pair(lowest << 32 | ids[k], NEVER), rank[k]
+                rank[i] = new
+                again = False
+                if (h := before[i]) >= 0:
+                    old_h = rank[h]
+                    rank[h] = back = pair(ids[h] << 32 | lowest, NEVER)
+                    hh = before[h]
+                    r = rank[hh] if hh >= 0 else NEVER
+                    if back < r and back <= new and back < NEVER:
+                        push(back, h)
+                        again = back <= lowest
+                    elif old_h < r <= back and r < NEVER and (hh == 0 or r < rank[before[hh]]):
+                        push(r, hh)
+                        again = r <= lowest
+                else:
+                    back = NEVER
+                if new < back and new <= beyond:
+                    push(new, i)
+                    again |= new <= lowest
+                elif old_j <= beyond < new and beyond <= rank[after[k]]:
+                    push(beyond, k)
+                    again |= beyond <= lowest
+                if again and positions:  # a new pair may go before the rest of this bucket
+                    queue.put(lowest, positions)
+                    break
+        return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text, each match of the pattern on its own."""
@@ -115,15 +151,16 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def entry(self, piece: str) -> tuple[int, str, bytes]:
-        """Count, ids in decimal and decoded bytes of a pre-token; short ones are kept."""
-        if (known := self.kept.get(piece)) is None:
-            raw = piece.encode()
-            ids = self.encode_piece(raw)
-            known = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            if len(raw) <= KEPT_BYTES:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[piece] = known
+        """Count, ids in decimal and decoded bytes of a pre-token; short ones that were seen lately are kept."""
+        if (known := self.young.get(piece)) is None:
+            if (known := self.old.pop(piece, None)) is None:
+                ids = self.encode_piece(piece.encode())
+                known = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                if len(known[2]) > KEPT_BYTES:
+                    return known
+            if len(self.young) >= KEPT:
+                self.old, self.young = self.young, {}
+            self.young[piece] = known
         return known
 
 
