@@ -29,13 +29,14 @@ STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at its ends and with A-Z in lower case.
+def folded(text: Column) -> Column:
+    """A-Z in lower case. ``lower`` does the same for texts that are all ASCII, far faster than ``translate``."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
-    ``lower`` does the same for texts that are all ASCII, far faster than ``translate``.
-    """
-    bare = F.btrim(line, F.lit(STRIPPED))
-    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+
+def bare(line: Column) -> Column:
+    """The line without ASCII white space at its ends."""
+    return F.btrim(line, F.lit(STRIPPED))
 
 
 def hashed(key: Column) -> Column:
@@ -100,16 +101,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = pick(docs, [(id_col, "doc_id"), (text_col, "text")]).withColumn("text", F.coalesce("text", F.lit("")))
     lines = F.split("text", "\n")
-    keys = F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= max(min_points, 0))
-    per_doc = rows.select(F.pmod(F.xxhash64("doc_id", F.char_length("text")), F.lit(batches)).alias("batch"), F.explode(F.array_distinct(F.transform(keys, hashed))).alias("h"))
-    staged = store(per_doc.groupBy("batch", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")).agg(F.count(F.lit(1)).alias("n")), "line-counts")
+    # Distinct as strings: Spark hashes those within a row, but compares structs pair by pair. Arrays are made in a step
+    # before they are exploded: what stands beside an explode is evaluated again for every line.
+    listed = rows.select(F.pmod(F.xxhash64("doc_id", F.char_length("text")), F.lit(batches)).alias("batch"), F.array_distinct(F.transform(F.split(folded(F.col("text")), "\n"), bare)).alias("keys"))
+    keys = listed.select("batch", F.explode_outer("keys").alias("key"))
+    keys = keys.where(F.char_length("key") >= min_points).select("batch", hashed(F.col("key")).alias("h"))
+    staged = store(keys.groupBy("batch", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")).agg(F.count(F.lit(1)).alias("n")), "line-counts")
     runs = LineRuns(spark, min_docs)
     for batch in range(batches):
         runs.add(staged.where(F.col("batch") == batch).select("h1", "h2", "n"))
     frequent = store(runs.finish(), "line-frequent")
 
     text_hash = hashed(F.col("text"))
-    placed = rows.select(text_hash.alias("t"), F.posexplode(F.transform(lines, lambda x: hashed(line_key(x)))).alias("at", "h"))
+    placed = rows.select(text_hash.alias("t"), F.split(folded(F.col("text")), "\n").alias("folded")).select("t", F.posexplode_outer("folded").alias("at", "line")).select("t", "at", hashed(bare(F.col("line"))).alias("h"))
     placed = placed.select("t", "at", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
     small = frequent.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     hits = placed.join(F.broadcast(frequent) if small else frequent, ["h1", "h2"])
