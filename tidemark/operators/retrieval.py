@@ -103,3 +103,19 @@ def chunk_paragraphs(docs: DataFrame, most_words: int = 120) -> DataFrame:
 
     packed = docs.select("doc_id", F.posexplode(F.aggregate(sizes, start, grow)).alias("chunk_no", "c"))
     return packed.select("doc_id", "chunk_no", F.col("c.words").alias("n_words"), F.col("c.lines").alias("n_lines"))
+
+
+def nearest_centroid(vectors: DataFrame, most_labels: int = 10_000) -> DataFrame:
+    """``vec_id, label, predicted, margin``: the label of the centroid of largest cosine, and its lead over the next.
+
+    Centroids are one row per label; their number is checked before they are broadcast.
+    """
+    rows = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    parts = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    centroids = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("c"))
+    centroids = centroids.select(F.col("label").alias("k"), "c", F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+    if centroids.limit(most_labels + 1).count() > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
+    scored = rows.join(F.broadcast(centroids)).select("vec_id", "label", "k", F.round(F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / F.col("norm"), 7).alias("score"))
+    ranked = scored.groupBy("vec_id", "label").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", (-F.col("k")).alias("k"))))), 1, 2).alias("top"))
+    return ranked.select("vec_id", "label", (-F.col("top")[0]["k"]).alias("predicted"), (F.col("top")[0]["score"] - F.col("top")[1]["score"]).alias("margin"))

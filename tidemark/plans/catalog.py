@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.lexicons import CLAIM_NEGATION, CLAIM_STOP, NEGATION, NLI_NEGATION, STOP
-from tidemark.operators import graphs, pairs, retrieval, safety, sequential, stats, streams, verification
+from tidemark.operators import claims, documents, graphs, pairs, retrieval, safety, sequential, stats, streams, verification
 from tidemark.plans import sqltext as S
 from tidemark.sources import views
 from tidemark.sources.tables import table
@@ -470,3 +470,132 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smoothed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential moving average of each user's scores."""
     return sequential.smoothed(decisions(spark, sf_dir).withColumn("tenant", F.col("user_id"))).select("tenant", "event_id", *r6("level"))
+
+
+SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({}, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: len(list_filter(string_split_regex(s, '[ \t\n\r\f]+'), lambda w: w <> '')) >= 3)"
+VERDICT_SQL = SQL["claim_verdict"]
+
+
+def _verified_sql() -> str:
+    """The claim verdict's SQL over (claim, best source) pairs, and the roll-up."""
+    best = f"""base AS (SELECT pair_id, {SENTENCES.format("hypothesis")} AS cs, {SENTENCES.format("premise")} AS ss FROM pairs0),
+        cl AS (SELECT pair_id, ss, unnest(cs) AS claim, generate_subscripts(cs, 1) AS ci FROM base), ex AS (SELECT pair_id, ci, claim, unnest(ss) AS source, generate_subscripts(ss, 1) AS si FROM cl),
+        sc AS (SELECT *, round({S.jaccard("cw", "sw")}, 9) AS j FROM (SELECT *, {S.words("claim")} AS cw, {S.words("source")} AS sw FROM ex)),
+        rk AS (SELECT *, row_number() OVER (PARTITION BY pair_id, ci ORDER BY j DESC, si) AS k FROM sc),
+        pairs AS (SELECT pair_id, ci, claim AS hypothesis, source AS premise FROM rk WHERE k = 1)"""
+    inner = VERDICT_SQL.replace(views.SQL["pairs"], views.SQL["pairs"].replace("pairs AS (", "pairs0 AS (", 1) + ", " + best)
+    inner = inner.replace("g AS (SELECT pair_id, 1 -", "g AS (SELECT pair_id, ci, 1 -").replace("SELECT pair_id, round(divergence, 6)", "SELECT pair_id, ci, round(divergence, 6)").replace("END, 6) AS verdict_confidence", "END, 9) AS verdict_confidence")
+    return f"""SELECT pair_id, count(*) AS claims, sum((verdict = 'supported')::INT) AS supported, sum((verdict = 'contradicted')::INT) AS contradicted, sum((verdict = 'fabricated')::INT) AS fabricated, sum((verdict = 'unverifiable')::INT) AS unverifiable,
+        sum((verdict IN ('contradicted', 'fabricated') AND verdict_confidence >= 0.6)::INT) = 0 AS approved, round(avg(CASE WHEN verdict = 'supported' THEN verdict_confidence WHEN verdict IN ('contradicted', 'fabricated') THEN 0.0 ELSE 0.5 END), 6) AS overall,
+        round(sum((verdict = 'supported')::INT) / count(*), 6) AS coverage FROM ({inner}) GROUP BY pair_id"""
+
+
+@query(_verified_sql(), longs="supported contradicted fabricated unverifiable")
+def verified_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of each answer against their best source sentences, rolled up."""
+    return claims.verified_claims(views.pairs(spark, sf_dir)).select("pair_id", "claims", "supported", "contradicted", "fabricated", "unverifiable", "approved", *r6("overall", "coverage"))
+
+
+@query(rf"""WITH {views.SQL["pairs"]}, s AS (SELECT pair_id, hypothesis, {S.spaced("premise")} AS q, string_split(regexp_replace(hypothesis, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM pairs),
+    e AS (SELECT pair_id, unnest(s) AS x, generate_subscripts(s, 1) AS i, len(s) AS n, hypothesis, q FROM s), o AS (SELECT *, round({S.jaccard("q", "w")}, 9) AS o FROM (SELECT *, {S.spaced("x")} AS w FROM e))
+    SELECT pair_id, md5(CASE WHEN any_value(n) <= 1 THEN any_value(hypothesis) WHEN max(o) >= 0.1 THEN string_agg(x, ' ' ORDER BY i) FILTER (WHERE o >= 0.1) ELSE arg_max(x, (o, -i)) END) AS compressed_md5 FROM o GROUP BY pair_id""")
+def contextual_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers cut down to the sentences that bear on their prompt (as digests)."""
+    return claims.compressed(views.pairs(spark, sf_dir)).select("pair_id", F.md5("compressed").alias("compressed_md5"))
+
+
+def _html_sql() -> str:
+    out = "html"
+    for tag in documents.DROPPED_TAGS:
+        out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT page_id, length({_html_sql()}) AS n_chars, md5({_html_sql()}) AS text_md5 FROM pages")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of pages (as digests)."""
+    text = documents.html_text(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", text.alias("t")).select("page_id", F.char_length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim(string_split(text, chr(10))[1], ' ' || chr(9) || chr(13)) AS line, string_split(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1))[1] AS sentence FROM documents)
+    SELECT doc_id, md5(substr(CASE WHEN length(line) > 10 THEN line ELSE sentence END, 1, 200)) AS title_md5 FROM t""")
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of documents (as digests)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(documents.title(F.col("text"))).alias("title_md5"))
+
+
+@query("SELECT count(*) AS documents, sum((length(coalesce(text, '')) = 0)::INT) AS empty, sum((length(coalesce(text, '')) < 50)::INT) AS short, count(DISTINCT md5(text)) AS distinct_texts, sum(length(coalesce(text, ''))) AS characters FROM documents", longs="empty short characters")
+def kb_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health of the document base."""
+    return documents.kb_health(table(spark, sf_dir, "documents"))
+
+
+@query("""WITH k AS (SELECT quality AS label, md5(substr(text, 1, 200)) AS key, count(*) AS n, sum(length(text) // 4 + 1) AS tokens, max(length(text) // 4 + 1) AS most FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)
+    SELECT label, sum(n) AS n, sum(n) - count(*) AS duplicates, sum(tokens) AS tokens, max(most) AS most_tokens FROM k GROUP BY label""", longs="n duplicates tokens")
+def label_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance, repeats and token estimates of labelled documents."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return documents.validate_labels(rows)
+
+
+@query("SELECT user_id, max(event_id) AS version, arg_max(event_type, event_id) AS value, count(*) AS versions FROM events GROUP BY user_id")
+def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest version of each key."""
+    return documents.latest_versions(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, lower(trim(coalesce(text, ''), ' ')) AS t FROM conversations), g AS (SELECT *, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM t WHERE length(t) >= 20),
+    p AS (SELECT a.conv_id, a.turn, b.turn AS output, round({S.jaccard("a.g", "b.g")}, 9) AS j FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant' AND b.turn < a.turn AND b.turn >= a.turn - 1000),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY j DESC, output) AS k FROM p)
+    SELECT conv_id, turn, output, round(j, 6) AS likeness, CASE WHEN j > 0.8 THEN 'high' WHEN j > 0.6 THEN 'medium' ELSE 'low' END AS severity FROM r WHERE k = 1 AND j >= 0.1""")
+def feedback_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs that repeat earlier outputs (from a likeness of 0.1, so that these tables have some)."""
+    return documents.feedback_loops(table(spark, sf_dir, "conversations"), least=0.1).select("conv_id", "turn", "output", *r6("likeness"), "severity")
+
+
+@query(f"""WITH {views.SQL["corrections"]}, r AS (SELECT rank() OVER (ORDER BY milli) + (count(*) OVER (PARTITION BY milli) - 1) / 2 AS a, rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2 AS b FROM corrections)
+    SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r""")
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of scores and labels."""
+    return documents.spearman(views.corrections(spark, sf_dir), "milli", "label").select("n", *r6("rho"))
+
+
+@query(f"""WITH {views.SQL["corrections"]}, p AS (SELECT label, (milli >= 500)::INT AS predicted FROM corrections), k(k) AS (VALUES (0), (1))
+    SELECT k, sum((label = k AND predicted = k)::INT) AS tp, round(sum((label = k AND predicted = k)::INT) / sum((predicted = k)::INT), 6) AS precision, round(sum((label = k AND predicted = k)::INT) / sum((label = k)::INT), 6) AS recall,
+        round(2 * sum((label = k AND predicted = k)::INT) / (sum((predicted = k)::INT) + sum((label = k)::INT)), 6) AS f1 FROM p, k GROUP BY k""", longs="tp")
+def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 by class."""
+    rows = views.corrections(spark, sf_dir).select("label", F.when(F.col("milli") >= 500, 1).otherwise(0).alias("predicted"))
+    return documents.class_metrics(rows).select("k", "tp", *r6("precision", "recall", "f1"))
+
+
+@query("""WITH RECURSIVE hops AS (SELECT DISTINCT n_regionkey * 5 AS src, n_nationkey AS dst FROM nation), r(node) AS (SELECT 0 UNION SELECT dst FROM hops JOIN r ON src = node) SELECT node::BIGINT AS node FROM r""")
+def quarantine_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that a quarantine of node 0 reaches over dependency edges."""
+    edges = table(spark, sf_dir, "nation").select((F.col("n_regionkey") * 5).cast("bigint").alias("src"), F.col("n_nationkey").cast("bigint").alias("dst"))
+    return graphs.reachable(edges, [0])
+
+
+@query(f"""WITH h AS ({SQL["handoff_scores"]}) SELECT role, count(*) AS handoffs, sum((score > 0.7)::INT) AS flagged, round(sum((score > 0.7)::INT) / count(*), 6) AS flagged_rate FROM h JOIN conversations USING (conv_id, turn) GROUP BY role""", longs="flagged")
+def swarm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handoffs and flagged handoffs by role."""
+    turns = table(spark, sf_dir, "conversations")
+    scored = graphs.handoffs(turns).withColumn("score", F.round("score", 6)).join(turns.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    return scored.groupBy("role").agg(F.count(F.lit(1)).alias("handoffs"), F.count_if(F.col("score") > 0.7).alias("flagged")).withColumn("flagged_rate", F.round(F.col("flagged") / F.col("handoffs"), 6))
+
+
+@query(f"""WITH {SETS}, h AS (SELECT turn % 2 = 0 AS ok, {LOGICAL} AS l, {FACTUAL} AS f FROM content), w(wl) AS (VALUES (0.4), (0.5), (0.6)), g AS (SELECT (wl * 10)::INT AS weight, t, ok, round(1 - (wl * l + (1 - wl) * f), 6) AS score FROM h, w, range(30, 91, 5) r(t))
+    SELECT weight, t, sum((ok AND score >= t / 100)::INT) AS tp, sum((NOT ok AND score < t / 100)::INT) AS tn FROM g GROUP BY weight, t""", longs="tp tn")
+def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion counts of thresholds and weights: the tuner's grid."""
+    scored = pairs.heuristic_factual(pairs.heuristic_logical(views.pairs(spark, sf_dir))).select((F.col("turn") % 2 == 0).alias("ok"), "h_logical", "h_factual")
+    grid = scored.select("*", F.explode(F.array(*[F.lit(x) for x in (0.4, 0.5, 0.6)])).alias("wl")).select("*", F.explode(F.sequence(F.lit(30), F.lit(90), F.lit(5))).alias("t"))
+    grid = grid.withColumn("score", F.round(1 - (F.col("wl") * F.col("h_logical") + (1 - F.col("wl")) * F.col("h_factual")), 6))
+    return grid.groupBy(F.rint(F.col("wl") * 10).cast("int").alias("weight"), F.col("t").cast("bigint").alias("t")).agg(F.count_if(F.col("ok") & (F.col("score") >= F.col("t") / 100)).alias("tp"), F.count_if(~F.col("ok") & (F.col("score") < F.col("t") / 100)).alias("tn"))
+
+
+@query()
+def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label of the nearest centroid of each vector; float sums depend on the order, so there is no exact SQL."""
+    return retrieval.nearest_centroid(table(spark, sf_dir, "embeddings")).select("vec_id", "label", "predicted", *r6("margin"))
