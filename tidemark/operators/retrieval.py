@@ -38,8 +38,8 @@ def jaccard_search(docs: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame
 def bm25(docs: DataFrame, queries: DataFrame, n: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, doc_id, score, rank``; idf = ln((N - df + 0.5) / (df + 0.5) + 1), statistics over all documents.
 
-    A query term counts as often as the query repeats it. Scores are summed in the order of terms, so reruns agree to
-    the last bit, and rounded to 9 digits before ranking.
+    A query term counts as often as the query repeats it. Weights are summed as whole billionths, so the sums do not
+    depend on the order of rows and aggregate on the map side.
     """
     d = terms(docs, "doc_id")
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(T.find_all(F.lower("text"), T.WORD))).alias("mean_length"))
@@ -50,8 +50,7 @@ def bm25(docs: DataFrame, queries: DataFrame, n: int = 5, k1: float = 1.2, b: fl
     rows = used.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("q_tf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    parts = rows.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("term", weight.alias("w")))).alias("w"))
-    scored = parts.withColumn("score", F.round(F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x["w"]), 9))
+    scored = rows.groupBy("query_id", "doc_id").agg((F.sum(F.round(weight * 1e9).cast("bigint")) / 1e9).alias("score"))
     return top(scored, F.col("score"), n).select("query_id", "doc_id", "score", "rank")
 
 

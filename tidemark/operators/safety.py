@@ -41,10 +41,11 @@ STRUCTURAL = "[]{}<>|`"
 def injection_score(df: DataFrame, column: str = "text", block: float = 0.8, longest: int = 100_000) -> DataFrame:
     """``suspicion`` (weights of the patterns found, at most 1; 1 for texts over ``longest``), ``found``, ``blocked``."""
     text = F.col(column)
-    total = sum((F.when(text.rlike(p), w).otherwise(0.0) for p, w in INJECTION.values()), F.lit(0.0))
-    found = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, (p, _) in INJECTION.items()]))
-    df = df.withColumns({"suspicion": F.when(F.char_length(text) > longest, 1.0).otherwise(F.least(total, F.lit(1.0))), "found": found})
-    return df.withColumn("blocked", F.round("suspicion", 9) >= block)
+    df = df.withColumn("found", F.array(*[text.rlike(p) for p, _ in INJECTION.values()]))  # each pattern runs once
+    total = sum((F.when(F.col("found")[i], w).otherwise(0.0) for i, (_, w) in enumerate(INJECTION.values())), F.lit(0.0))
+    df = df.withColumn("suspicion", F.when(F.char_length(text) > longest, 1.0).otherwise(F.least(total, F.lit(1.0))))
+    names = F.array_compact(F.array(*[F.when(F.col("found")[i], F.lit(name)) for i, name in enumerate(INJECTION)]))
+    return df.withColumn("found", names).withColumn("blocked", F.round("suspicion", 9) >= block)
 
 
 def pii_counts(df: DataFrame, column: str = "text") -> DataFrame:

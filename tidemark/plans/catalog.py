@@ -311,7 +311,7 @@ def jaccard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BM25 = r"""d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents), t AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2), l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS length FROM documents),
     s AS (SELECT count(*) AS n, avg(length) AS m FROM l), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1), q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) GROUP BY 1, 2),
-    b AS (SELECT query_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m)) ORDER BY term), 9) AS score FROM t JOIN f USING (term) JOIN q USING (term) JOIN l USING (doc_id), s GROUP BY 1, 2),
+    b AS (SELECT query_id, doc_id, sum(round(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m)) * 1e9)::BIGINT) / 1e9 AS score FROM t JOIN f USING (term) JOIN q USING (term) JOIN l USING (doc_id), s GROUP BY 1, 2),
     bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b)"""
 
 
