@@ -1,5 +1,6 @@
 """Documented behaviour and edge cases of the operators."""
 
+import hashlib
 import re
 
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators import graphs, pairs, retrieval, safety, sequential, stats, streams, verification
+from tidemark.operators import graphs, pairs, provenance, retrieval, safety, sequential, stats, streams, verification
 from tidemark.streaming.live import live_halts, windowed_rates
 
 
@@ -117,3 +118,19 @@ def test_json_and_reasoning(spark):
     assert [(r["missing"], r["k_is_integer"]) for r in verification.json_check(df, ("k",)).collect()] == [(0, True), (1, False), (1, False)]
     steps = spark.createDataFrame([(1, 1, "a b c"), (1, 2, "a b c"), (1, 3, "x y z")], "chain int, step int, text string")
     assert [r["verdict"] for r in verification.reasoning_chain(steps).orderBy("step").collect()] == ["premise", "circular", "unsupported_leap"]
+
+
+def test_merkle_roots(spark):
+    rows = [(g, i, hashlib.sha256(f"{g}-{i}".encode()).hexdigest()) for g in (1, 2, 3, 5, 8) for i in range(g)]
+    got = {r["g"]: (r["leaves"], r["root"]) for r in provenance.merkle_roots(spark.createDataFrame(rows, "g int, i int, h string"), "g", "i", "h").collect()}
+    for g in (1, 2, 3, 5, 8):
+        level = [h for k, _, h in rows if k == g]
+        while len(level) > 1:
+            level += level[-1:] * (len(level) % 2)
+            level = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(level[::2], level[1::2], strict=True)]
+        assert got[g] == (g, level[0])
+
+
+def test_noise_has_its_scale(spark):
+    row = spark.range(20_000).select(provenance.laplace(F.lit(0.0), 1.0, 0.5, 3).alias("x"), provenance.gaussian(F.lit(0.0), 1.0, 1.0, 1e-5, 4).alias("y")).agg(F.avg(F.abs("x")), F.stddev("y")).first()
+    assert row[0] == pytest.approx(2.0, rel=0.05) and row[1] == pytest.approx(4.84, rel=0.05)

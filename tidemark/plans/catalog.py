@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.lexicons import CLAIM_NEGATION, CLAIM_STOP, NEGATION, NLI_NEGATION, STOP
-from tidemark.operators import claims, documents, graphs, pairs, retrieval, safety, sequential, stats, streams, verification
+from tidemark.operators import claims, documents, graphs, pairs, provenance, retrieval, safety, sequential, stats, streams, verification
 from tidemark.plans import sqltext as S
 from tidemark.sources import views
 from tidemark.sources.tables import table
@@ -599,3 +599,28 @@ def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label of the nearest centroid of each vector; float sums depend on the order, so there is no exact SQL."""
     return retrieval.nearest_centroid(table(spark, sf_dir, "embeddings")).select("vec_id", "label", "predicted", *r6("margin"))
+
+
+@query("""WITH h AS (SELECT user_id, event_id, sha256(coalesce(props, '')) AS event_hash, props FROM events), c AS (SELECT *, coalesce(lag(event_hash) OVER (PARTITION BY user_id ORDER BY event_id), '') AS parent_hash FROM h),
+    t AS (SELECT user_id, event_id, event_hash, parent_hash, CASE WHEN event_id % 997 = 0 THEN 'tampered' ELSE coalesce(props, '') END AS props FROM c),
+    v AS (SELECT *, event_hash <> sha256(props) OR parent_hash <> coalesce(lag(event_hash) OVER (PARTITION BY user_id ORDER BY event_id), '') AS bad FROM t)
+    SELECT user_id, count(*) AS events, sum(bad::INT) AS n_bad, min(CASE WHEN bad THEN event_id END) AS first_bad FROM v GROUP BY user_id""", longs="n_bad")
+def hash_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash chains of each user's events, some tampered with, verified."""
+    built = provenance.chained(table(spark, sf_dir, "events").select("user_id", "event_id", "props"), "user_id", "event_id", "props")
+    tampered = built.withColumn("props", F.when(F.col("event_id") % 997 == 0, F.lit("tampered")).otherwise(F.col("props")))
+    return provenance.verify_chain(tampered, "user_id", "event_id", "props")
+
+
+@query()
+def merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle root of each conversation's turns; levels depend on the data, so there is no plain SQL."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return provenance.merkle_roots(turns, "conv_id", "turn", "h")
+
+
+@query(f"WITH {views.SQL['audit']}, r AS (SELECT tenant, event_id, sum(tokens) OVER (PARTITION BY tenant ORDER BY event_id) AS spent FROM audit) SELECT tenant, event_id, spent, spent <= 5000 AS within FROM r", longs="spent")
+def privacy_accountant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Privacy budget spent by each tenant's releases, by basic composition."""
+    releases = views.audit(spark, sf_dir).select("tenant", "event_id", F.col("tokens").alias("epsilon_milli"))
+    return provenance.spent_budget(releases, 5000).select("tenant", "event_id", "spent", "within")
