@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import fresh_path, store
+from tidemark.sources.shared import drop_path, fresh_path, store
 from tidemark.sources.tables import pick
 
 BATCHES, FAN = 4, 2
@@ -52,11 +52,13 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
         self.frequent: list[DataFrame] = []
+        self.tables: dict[str, str] = {}
 
     def _run(self, df: DataFrame) -> DataFrame:
         name = f"tidemark_run_{uuid.uuid4().hex}"
         writer = df.repartition(self.buckets, "h1").sortWithinPartitions("h1", "h2").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2")
-        writer.option("compression", "zstd").option("path", fresh_path(self.spark, "line-run")).saveAsTable(name)
+        self.tables[name] = fresh_path(self.spark, "line-run")
+        writer.option("compression", "zstd").option("path", self.tables[name]).saveAsTable(name)
         return self.spark.table(name)
 
     def _settle(self, level: int, counts: DataFrame) -> None:
@@ -89,6 +91,13 @@ class LineRuns:
             self._settle(0, self._compact(left))
         return reduce(DataFrame.unionByName, self.frequent).distinct()
 
+    def drop(self) -> None:
+        """Remove all runs, once nothing reads them any more."""
+        for name, path in self.tables.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_path(self.spark, path)
+        self.tables.clear()
+
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_points: int = 1, batches: int = BATCHES) -> DataFrame:
     """Drop lines whose key is found in at least ``min_docs`` documents, in every document.
@@ -111,6 +120,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for batch in range(batches):
         runs.add(staged.where(F.col("batch") == batch).select("h1", "h2", "n"))
     frequent = store(runs.finish(), "line-frequent")
+    runs.drop()
 
     text_hash = hashed(F.col("text"))
     placed = rows.select(text_hash.alias("t"), F.split(folded(F.col("text")), "\n").alias("folded")).select("t", F.posexplode_outer("folded").alias("at", "line")).select("t", "at", hashed(bare(F.col("line"))).alias("h"))
