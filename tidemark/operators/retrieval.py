@@ -6,10 +6,15 @@ document id as its tie-break.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.sources.shared import store
 
 
 def top(df: DataFrame, score: Column, n: int, by: str = "query_id", tie: str = "doc_id") -> DataFrame:
@@ -54,20 +59,46 @@ def bm25(docs: DataFrame, queries: DataFrame, n: int = 5, k1: float = 1.2, b: fl
     return top(scored, F.col("score"), n).select("query_id", "doc_id", "score", "rank")
 
 
-def dense(vectors: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
-    """Brute-force cosine search of unit vectors: ``query_id, doc_id, score, rank``.
+def dense(vectors: DataFrame, queries: DataFrame, n: int = 5, block: int = 4096) -> DataFrame:
+    """Brute-force search of unit vectors by inner product: ``query_id, doc_id, score, rank``.
 
-    The queries are one bounded block: they are broadcast only after they have been counted, and joined in blocks of
-    the counted size otherwise. The query itself is not among its results.
+    Queries go out in blocks of about half of ``block`` rows, which bounds what each task holds. A task keeps the
+    ``n`` best of its own rows for each query, so the shuffle carries n rows a query and task, not all pairs. The
+    query itself is not among its results, nor are scores of 0 or less.
     """
-    small = queries.limit(4097).count() <= 4096
-    q = queries.select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("qv"))
-    d = vectors.select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("dv"))
-    if not small:
-        raise ValueError("search in blocks of at most 4096 queries")
-    joined = d.join(F.broadcast(q), F.col("doc_id") != F.col("query_id"))
-    scored = joined.select("query_id", "doc_id", F.round(F.aggregate(F.zip_with("qv", "dv", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x), 9).alias("score"))
-    return top(scored.where("score > 0"), F.col("score"), n)
+    total = queries.count()
+    blocks = max(1, -(-total // max(1, block // 2)))
+    queries = queries.select("vec_id", "embedding").where("embedding IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    found = None
+    for i in range(blocks):
+        part = dense_block(vectors, queries.where(F.col("block") == i).toPandas(), n)
+        part = part if blocks == 1 else store(part, "dense")
+        found = part if found is None else found.unionByName(part)
+    return top(found, F.col("score"), n)
+
+
+def dense_block(vectors: DataFrame, block: pd.DataFrame, n: int) -> DataFrame:
+    """The ``n`` best rows of each task for a bounded block of queries: ``query_id, doc_id, score``."""
+    ids = block["vec_id"].to_numpy(np.int64)
+    matrix = np.array(block["embedding"].tolist() or [[0.0]], np.float64)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for rows in batches:
+            rows = rows.dropna()
+            for at in range(0, len(rows) if len(ids) else 0, 1024):
+                piece = rows.iloc[at : at + 1024]
+                docs = piece["vec_id"].to_numpy(np.int64)
+                scores = np.round(np.array(piece["embedding"].tolist(), np.float64) @ matrix.T, 9)
+                scores[docs[:, None] == ids[None, :]] = -1.0
+                r, q = np.nonzero(scores > 0)
+                made = pd.DataFrame({"query_id": ids[q], "doc_id": docs[r], "score": scores[r, q]})
+                best = made if best is None else pd.concat([best, made])
+                best = best.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]).groupby("query_id").head(n)
+        if best is not None:
+            yield best
+
+    return vectors.select("vec_id", "embedding").mapInPandas(search, "query_id bigint, doc_id bigint, score double")
 
 
 def fuse(rankings: list[tuple[DataFrame, float]], n: int = 5, k: int = 60) -> DataFrame:
