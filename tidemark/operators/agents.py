@@ -158,8 +158,8 @@ def bargain(agents: DataFrame, units: int) -> DataFrame:
     grid = agents.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(units))))
     surplus = lambda v, x, d: F.greatest(F.lit(1e-6), (F.col(v) * x - F.col(d)).cast("double"))
     grid = grid.withColumn("product", surplus("v0", F.col("x"), "d0") * surplus("v1", units - F.col("x"), "d1"))
-    best = grid.groupBy("pool").agg(F.max(F.struct("product", -F.col("x"))).alias("b"))
-    return best.select("pool", (-F.col("b.col2")).alias("share0"), (units + F.col("b.col2")).alias("share1"), F.col("b.product").alias("product"))
+    best = grid.groupBy("pool").agg(F.max(F.struct("product", (-F.col("x")).alias("back"))).alias("b"))
+    return best.select("pool", (-F.col("b.back")).alias("share0"), (units + F.col("b.back")).alias("share1"), F.col("b.product").alias("product"))
 
 
 def overdraws(draws: DataFrame, sustainable: float, window: int, grace: int, factor: float = 1.25) -> DataFrame:
@@ -220,25 +220,35 @@ def order_parameter(phases: DataFrame) -> DataFrame:
 def stationary(edges: DataFrame, laziness: float = 0.5, tolerance: float = 1e-6, most_steps: int = 256, between: int = 8) -> DataFrame:
     """``node, p``: stationary distribution of a lazy random walk over ``src, dst, weight``; nodes without ways out go anywhere.
 
-    Mass moves by joins and sums. Every ``between`` steps the vector is written and the last step's change compared
-    with ``tolerance``.
+    Mass moves by a join and a sum. The vector is written every ``between`` steps (every step where mass of nodes
+    without ways out must be shared, since a step then reads the vector twice), and the last step's change is
+    compared with ``tolerance``.
     """
     nodes = store(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "walk")
     n = nodes.count()
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    moves = store(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "walk")
-    ends = moves.select(F.col("src").alias("node")).distinct()
-    p = nodes.withColumn("p", F.lit(1.0 / n) if n else F.lit(0.0))
-    for step in range(1, most_steps + 1):
-        sent = p.join(moves, p["node"] == moves["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("share")).alias("got"))
-        lost = p.join(ends, "node", "left_anti").agg((F.coalesce(F.sum("p"), F.lit(0.0)) / n).alias("lost"))  # one row
-        nxt = p.join(sent, "node", "left").crossJoin(F.broadcast(lost))
-        nxt = nxt.select("node", F.col("p").alias("was"), (laziness * F.col("p") + (1 - laziness) * (F.coalesce("got", F.lit(0.0)) + F.col("lost"))).alias("p"))
-        if step % between == 0:
-            nxt = store(nxt, "walk")
-            if (nxt.agg(F.sum(F.abs(F.col("p") - F.col("was"))).alias("d")).first()["d"] or 0.0) < tolerance:
-                return nxt.select("node", "p")
-        p = nxt.select("node", "p")
+    follow = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).join(out, "src").select("src", "dst", ((1 - laziness) * F.col("weight") / F.col("total")).alias("share"))
+    stay = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(laziness).alias("share"))
+    moves = store(follow.unionByName(stay), "walk")
+    ends = store(nodes.join(edges.select(F.col("src").alias("node")), "node", "left_anti"), "walk")
+    loose = not ends.isEmpty()
+
+    def step(p: DataFrame) -> DataFrame:
+        got = p.join(moves, p["node"] == moves["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("share")).alias("p"))
+        if not loose:
+            return got
+        lost = p.join(ends, "node").agg((F.coalesce(F.sum("p"), F.lit(0.0)) * (1 - laziness) / n).alias("lost"))  # one row
+        return store(got.crossJoin(F.broadcast(lost)).select("node", (F.col("p") + F.col("lost")).alias("p")), "walk")
+
+    p = nodes.withColumn("p", F.lit(1.0 / max(n, 1)))
+    for _ in range(0, most_steps, between):
+        for _ in range(between - 1):
+            p = step(p)
+        was = store(p, "walk")
+        p = store(step(was), "walk")
+        change = p.join(was.withColumnRenamed("p", "was"), "node").agg(F.sum(F.abs(F.col("p") - F.col("was"))).alias("d")).first()["d"]
+        if (change or 0.0) < tolerance:
+            break
     return p
 
 
@@ -260,9 +270,11 @@ def action_divergence(decisions: DataFrame) -> DataFrame:
     everyone = c.groupBy("action").agg(F.sum("k").alias("a"))
     whole = everyone.agg(F.sum("a").alias("total"))  # one row
     n = c.groupBy("tenant").agg(F.sum("k").alias("n"))
-    grid = n.join(everyone.crossJoin(F.broadcast(whole)).withColumn("q", F.col("a") / F.col("total")))  # tenants by kinds of action
-    filled = grid.join(c, ["tenant", "action"], "left").withColumn("p", F.coalesce("k", F.lit(0)) / F.col("n"))
-    return filled.groupBy("tenant", "n").agg((F.sum(F.round((F.col("p") - F.col("q")) * (F.col("p") - F.col("q")) / F.col("q") * 1e12).cast("bigint")) / 1e12).alias("chi2"))
+    shares = everyone.crossJoin(F.broadcast(whole)).select("action", (F.col("a") / F.col("total")).alias("q"))
+    # An action that a tenant never took adds q; all q together are 1, so only the taken ones need rows.
+    p, q = F.col("k") / F.col("n"), F.col("q")
+    part = F.round(((p - q) * (p - q) / q - q) * 1e12).cast("bigint")
+    return c.join(n, "tenant").join(shares, "action").groupBy("tenant", "n").agg((1 + F.sum(part) / 1e12).alias("chi2"))
 
 
 def similarity_bands(pairs: DataFrame, low: float = 0.15, high: float = 0.45) -> DataFrame:
