@@ -190,3 +190,10 @@ def ranking_metrics(ranking: DataFrame, relevant: DataFrame) -> DataFrame:
     hits = ranking.join(relevant.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     by = hits.groupBy("query_id").agg(F.count_if((F.col("rank") <= 1) & (F.col("hit") == 1)).alias("h1"), F.count_if((F.col("rank") <= 3) & (F.col("hit") == 1)).alias("h3"))
     return by.agg(F.count(F.lit(1)).alias("queries"), (F.sum("h1") / F.count(F.lit(1))).alias("hit_at_1"), (F.count_if(F.col("h3") > 0) / F.count(F.lit(1))).alias("hit_at_3"), (F.sum("h3") / F.count(F.lit(1)) / 3).alias("precision_at_3"))
+
+
+def class_weights(rows: DataFrame) -> DataFrame:
+    """``label, n, weight``: all rows / (labels * rows of the label)."""
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))  # one row
+    return counts.crossJoin(F.broadcast(whole)).select("label", "n", (F.col("total") / (F.col("kinds") * F.col("n"))).alias("weight"))

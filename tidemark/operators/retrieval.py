@@ -20,7 +20,8 @@ from tidemark.sources.shared import store
 def top(df: DataFrame, score: Column, n: int, by: str = "query_id", tie: str = "doc_id") -> DataFrame:
     """The ``n`` best rows of each query as ``rank`` 1 to n."""
     w = Window.partitionBy(by).orderBy(score.desc(), F.col(tie))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    best = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return best.withColumn("rank", F.col("rank").cast("bigint"))  # after the filter, which limits groups before the shuffle
 
 
 def terms(df: DataFrame, key: str, column: str = "text") -> DataFrame:
@@ -31,13 +32,39 @@ def terms(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     return exploded.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def jaccard_search(docs: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
-    """``query_id, doc_id, shared, similarity, rank`` by word-set Jaccard; documents without a shared word don't count."""
+def jaccard_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, doc_id, shared, similarity`` by word-set Jaccard, for all that share a word."""
     d = terms(docs, "doc_id").select("doc_id", "term", F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("d_size"))
     q = terms(queries, "query_id").select("query_id", "term", F.count(F.lit(1)).over(Window.partitionBy("query_id")).alias("q_size"))
     hits = d.join(q, "term").groupBy("query_id", "doc_id", "q_size", "d_size").agg(F.count(F.lit(1)).alias("shared"))
-    hits = hits.withColumn("similarity", F.col("shared") / (F.col("q_size") + F.col("d_size") - F.col("shared")))
-    return top(hits, F.col("similarity"), n).select("query_id", "doc_id", "shared", "similarity", "rank")
+    return hits.select("query_id", "doc_id", "shared", (F.col("shared") / (F.col("q_size") + F.col("d_size") - F.col("shared"))).alias("similarity"))
+
+
+def jaccard_search(docs: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
+    """``query_id, doc_id, shared, similarity, rank`` by word-set Jaccard; documents without a shared word don't count."""
+    return top(jaccard_hits(docs, queries), F.col("similarity"), n).select("query_id", "doc_id", "shared", "similarity", "rank")
+
+
+def children(docs: DataFrame, size: int = 256) -> DataFrame:
+    """``doc_id, text``: pieces of ``size`` characters; ids are the document's times 2^24 plus the place (ids below 2^39)."""
+    cut = docs.select(F.col("doc_id").alias("parent"), F.posexplode(T.find_all(F.col("text"), f"(?s).{{1,{size}}}")).alias("i", "text"))
+    return cut.select((F.col("parent") * 16777216 + F.col("i")).alias("doc_id"), "text")
+
+
+def parent_child(docs: DataFrame, queries: DataFrame, n: int = 5, fetch: int = 5, size: int = 256) -> DataFrame:
+    """``query_id, doc_id, child, similarity, rank``: parents of the ``fetch * n`` best pieces, each by its first piece."""
+    found = jaccard_search(children(docs, size), queries, n * fetch).withColumns({"child": F.col("doc_id") % 16777216, "parent": F.floor(F.col("doc_id") / 16777216).cast("bigint")})
+    first = found.groupBy("query_id", F.col("parent").alias("doc_id")).agg(F.min(F.struct("rank", "child", "similarity")).alias("f"))
+    w = Window.partitionBy("query_id").orderBy("f.rank")
+    ranked = first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return ranked.select("query_id", "doc_id", F.col("f.child").alias("child"), F.col("f.similarity").alias("similarity"), F.col("place").cast("bigint").alias("rank"))
+
+
+def multi_vector(reps: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
+    """``query_id, doc_id, similarity, rank`` by each document's best representation (``doc_id, rep, text``; rep 0 to 3)."""
+    hits = jaccard_hits(reps.select((F.col("doc_id") * 4 + F.col("rep")).alias("doc_id"), "text"), queries)
+    best = hits.groupBy("query_id", F.floor(F.col("doc_id") / 4).cast("bigint").alias("doc_id")).agg(F.max("similarity").alias("similarity"))
+    return top(best, F.col("similarity"), n)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, n: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions.lexicons import NLI_NEGATION
 from tidemark.operators import evidence as E
-from tidemark.operators import pairs, retrieval, safety
+from tidemark.operators import documents, pairs, retrieval, safety
 from tidemark.plans import sqltext as S
 from tidemark.plans.catalog import ATTACKED, BM25, PHRASE, SENTENCES, SETS, attacked
 from tidemark.plans.registry import QUERIES, SQL, query, r6
@@ -186,3 +186,40 @@ def pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("label"), E.pieces(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") >= 3)
     grams = words.select("label", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("gram"))
     return grams.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("support")).where("support >= 2")
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+
+
+_CHILDREN = "WITH children AS (SELECT doc_id * 16777216 + i - 1 AS doc_id, text FROM (SELECT doc_id, unnest(c) AS text, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,256}') AS c FROM documents)))"
+
+
+@query(f"""WITH found AS ({SQL["jaccard_search"].replace("FROM documents", "FROM children").replace("rank <= 5", "rank <= 25").replace("WITH ", _CHILDREN + ", ", 1)}),
+    f AS (SELECT query_id, doc_id // 16777216 AS doc_id, min(rank) AS first, arg_min(doc_id % 16777216, rank) AS child, arg_min(similarity, rank) AS similarity FROM found GROUP BY 1, 2),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM f) SELECT query_id, doc_id, child, similarity, rank FROM p WHERE rank <= 5""")
+def parent_child_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose pieces are most like each benchmark passage (top-k report)."""
+    return retrieval.parent_child(table(spark, sf_dir, "documents"), _queries(spark, sf_dir)).select("query_id", "doc_id", "child", *r6("similarity"), "rank")
+
+
+_SPLIT = r"string_split(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1))"
+_REPS = f"""reps AS (SELECT doc_id * 4 AS doc_id, text FROM documents UNION ALL SELECT doc_id * 4 + 1, array_to_string({_SPLIT}[1:3], ' ') FROM documents
+    UNION ALL SELECT doc_id * 4 + 2, substr(CASE WHEN length(line) > 10 THEN line ELSE sentence END, 1, 200) FROM (SELECT doc_id, trim(string_split(text, chr(10))[1], ' ' || chr(9) || chr(13)) AS line, {_SPLIT}[1] AS sentence FROM documents))"""
+_HITS = SQL["jaccard_search"].replace("FROM documents", "FROM reps").replace("WITH ", f"WITH {_REPS}, ", 1).split(", r AS (")[0].split(",\n    r AS (")[0]
+
+
+@query(f"""{_HITS}, best AS (SELECT query_id, doc_id // 4 AS doc_id, max(similarity) AS similarity FROM j GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM best)
+    SELECT query_id, doc_id, round(similarity, 6) AS similarity, rank FROM k WHERE rank <= 5""")
+def multi_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the best of text, summary and title for each benchmark passage (top-k report)."""
+    summary = F.array_join(F.slice(F.split("text", r"(?<=[.!?])\s+"), 1, 3), " ")
+    forms = F.array(*[F.struct(F.lit(i).alias("rep"), x.alias("text")) for i, x in enumerate((F.col("text"), summary, documents.title(F.col("text"))))])
+    reps = table(spark, sf_dir, "documents").select("doc_id", F.explode(forms).alias("x")).select("doc_id", "x.rep", "x.text")
+    return retrieval.multi_vector(reps, _queries(spark, sf_dir)).select("query_id", "doc_id", *r6("similarity"), "rank")
+
+
+@query("""WITH l AS (SELECT quality AS label, count(*) AS n FROM labels GROUP BY 1) SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM l""")
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverse-frequency weights of the labels."""
+    return E.class_weights(table(spark, sf_dir, "labels").select(F.col("quality").alias("label"))).select("label", "n", *r6("weight"))
