@@ -12,7 +12,7 @@ from tidemark.functions import text as T
 from tidemark.functions.lexicons import CLAIM_NEGATION, CLAIM_STOP, NEGATION, NLI_NEGATION, STOP
 from tidemark.operators import claims, documents, graphs, pairs, provenance, retrieval, safety, sequential, stats, streams, verification
 from tidemark.plans import sqltext as S
-from tidemark.plans.registry import QUERIES, SINCE, SQL, UNTIL, query, r6
+from tidemark.plans.registry import QUERIES, SINCE, SQL, UNTIL, longs, query, r6
 from tidemark.sources import views
 from tidemark.sources.tables import table
 
@@ -135,7 +135,7 @@ def injection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"WITH {ATTACKED}, folded AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F\P{{L}}]', '_', 'g') AS text FROM attacked) SELECT doc_id, {', '.join(f'len(regexp_extract_all(text, {S.rx(p)})) AS n_{k}' for k, p in safety.PII.items())} FROM folded")
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in documents, by kind."""
-    return safety.pii_counts(attacked(spark, sf_dir)).select("doc_id", *[f"n_{k}" for k in safety.PII])
+    return safety.pii_counts(attacked(spark, sf_dir)).select("doc_id", *longs(*[f"n_{k}" for k in safety.PII]))
 
 
 @query()
@@ -358,7 +358,7 @@ def cross_turn_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loop_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of each agent step."""
     steps = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("idx"), F.concat_ws("::", "event_type", F.coalesce("props", F.lit(""))).alias("action"), F.floor("value").cast("bigint").alias("tokens"))
-    return streams.loop_monitor(steps)
+    return streams.loop_monitor(steps).withColumns({c: F.col(c).cast("bigint") for c in ("step", "seen")})
 
 
 EDGES = f"{views.SQL['audit']}, e AS (SELECT lag(user_id) OVER (PARTITION BY event_type ORDER BY micros, event_id) AS src, user_id AS dst FROM audit), edges AS (SELECT src, dst, count(*) AS weight FROM e WHERE src IS NOT NULL AND src <> dst GROUP BY 1, 2)"
@@ -402,7 +402,7 @@ def json_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, len(regexp_extract_all(text, '\d+')) AS n_numbers, len(y) AS n_years, len(list_filter(y, lambda v: v::INT > 2029)) AS far_future, len(list_filter(c, lambda v: v::BIGINT > 100)) AS bad_probability FROM y""")
 def numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, years and probabilities in documents."""
-    return verification.numeric_claims(attacked(spark, sf_dir), 2024).select("doc_id", "n_numbers", "n_years", "far_future", "bad_probability")
+    return verification.numeric_claims(attacked(spark, sf_dir), 2024).select("doc_id", *longs("n_numbers", "n_years", "far_future", "bad_probability"))
 
 
 @query(f"""WITH s AS (SELECT conv_id AS chain, turn AS step, {S.words("coalesce(text, '')")} AS w FROM conversations),
@@ -484,7 +484,7 @@ def _html_sql() -> str:
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of pages (as digests)."""
     text = documents.html_text(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", text.alias("t")).select("page_id", F.char_length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+    return table(spark, sf_dir, "pages").select("page_id", text.alias("t")).select("page_id", F.char_length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, trim(string_split(text, chr(10))[1], ' ' || chr(9) || chr(13)) AS line, string_split(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1))[1] AS sentence FROM documents)

@@ -35,3 +35,8 @@ def query(sql: str | None = None, longs: str = "") -> Callable[[Query], Query]:
 def r6(*names: str) -> list:
     """Columns rounded to 6 digits."""
     return [F.round(n, 6).alias(n) for n in names]
+
+
+def longs(*names: str) -> list:
+    """Counts as longs."""
+    return [F.col(n).cast("bigint").alias(n) for n in names]
