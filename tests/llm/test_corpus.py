@@ -277,6 +277,29 @@ def test_passages(spark, nothing, edge):
     assert {r["doc_id"] for r in substrings.repeated_passages(edge).collect()} == {6, 7}
 
 
+def test_stretches_of_changed_words_against_brute_force():
+    """One word changed, put in or left out at every position: a passage of similarity 0.8 is found whole.
+
+    A passage begins and ends with equal words, so 49 equal words and a changed one are none.
+    """
+    rng = np.random.default_rng(5)
+    sets = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for n in range(50, 121, 5):
+        around = rng.integers(0, 1 << 62, (4, 30)).astype(np.uint64)
+        one = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        for at in range(n):
+            word = np.array([at + 7], np.uint64)
+            for other in (np.concatenate([one[:at], word, one[at + 1 :]]), np.concatenate([one[:at], word, one[at:]]), np.concatenate([one[:at], one[at + 1 :]])):
+                x, y = sets(one.tolist()), sets(other.tolist())
+                if len(other) < 50 or len(x & y) < 0.8 * len(x | y) or len(other) == n == 50 and at in (0, 49):
+                    continue
+                got = substrings.near_stretches(np.concatenate([around[0], one, around[1]]), np.concatenate([around[2], other, around[3]]), 50, 0.8)
+                held = {k for a0, a1, _, _ in got for k in range(a0, a1)}
+                equal = {30 + k + d for k in range(n - 4) if tuple(one[k : k + 5].tolist()) in y for d in range(5)}
+                assert equal <= held, (n, at, len(other), got)
+                assert all(a1 - a0 >= 50 for a0, a1, _, _ in got)
+
+
 def test_compact_windows_against_definition():
     rng = np.random.default_rng(2)
     for n, width in ((5, 6), (40, 7), (200, 26), (90, 46)):
