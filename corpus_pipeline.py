@@ -18,9 +18,18 @@ from tidemark.sources.tables import table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among ``ids`` (one column, ``stays``); a null id matches a null id."""
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["stays"]), "left_semi")
+#: The key of a stage's input rows; ids may be null or repeat.
+ROW = "pipeline_row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for every row, written once so that all reads of a stage see the same keys."""
+    return store(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of a keyed table whose key is in ``kept``, without the key."""
+    return rows.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +40,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original stays."""
-    return only(docs, exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("stays")))
+    rows = keyed(docs)
+    return only(rows, exact.exact_dedup(rows, row_col=ROW).where("kept"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the smallest id stays."""
-    found = simhash.simhash_components(docs)
-    return only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")))
+    """Of each component of near-duplicates one row with the smallest id stays."""
+    rows = keyed(docs)
+    return only(rows, simhash.kept_rows(rows, ROW))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    times = mixing.mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("times").cast("int").alias("times")).where("times > 0")
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["id"]))
+    """Each row as often as the mix takes it: not at all, once or twice."""
+    rows = keyed(docs)
+    times = mixing.mix(rows, row_col=ROW).select(ROW, F.col("times").cast("int").alias("times")).where("times > 0")
+    taken = rows.join(times, ROW)
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 

@@ -27,3 +27,27 @@ def test_stages(spark, sf_dir):
         seen = out
     last = corpus_pipeline.STAGES[-1][1](spark, seen, sf_dir)
     assert last.count() == seen.count() and "ids_sha256" in last.columns
+
+
+def test_stages_decide_by_row(spark, sf_dir):
+    """Repeated rows, null ids, and ids whose rows differ: each row has its own decision."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    one, two, three, four = (" ".join(f"{w}{k}" for k in range(40)) for w in ("brook", "cedar", "plain", "stone"))
+    texts = [(5, one), (5, one), (5, one), (None, one), (None, two), (None, two), (None, three), (3, four + "  "), (7, four), (7, two + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], schema)
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    kept = [(5, one), (None, two), (None, three), (3, four + "  "), (7, two + " more")]
+    assert rows(corpus_pipeline.exact_dedup(spark, docs, sf_dir)) == sorted(kept, key=str)
+    prints = {t: simhash.fingerprint(t.encode()) for _, t in texts}
+    assert min((prints[a] ^ prints[b]).bit_count() for a, b in ((one, two), (one, three), (one, four), (two, three), (two, four), (three, four))) > 2
+    got = rows(corpus_pipeline.simhash_dedup(spark, docs, sf_dir))
+    near = (prints[two] ^ prints[two + " more"]).bit_count() <= 2
+    assert got == sorted([(5, one), (None, three), (3, four + "  "), (7, two + " more")] + ([] if near else [(None, two)]), key=str)
+    many = [(None if k % 3 == 0 else k % 7, " ".join(["word"] * (k % 50 + 1)), "en", "ab"[k % 2], 0) for k in range(600)]
+    docs = spark.createDataFrame(many, schema)
+    words = mixing.word_count(F.col("text"))
+    out = corpus_pipeline.mix_sources(spark, docs, sf_dir).groupBy("source").agg(F.sum(words).alias("n")).collect()
+    wanted = docs.groupBy("source").agg(F.sum(words).alias("n")).orderBy("source").collect()
+    targets = mixing.source_targets([r["n"] for r in wanted], [5.0, 2.0], 1.5, 2.0)
+    found = {r["source"]: r["n"] for r in out}
+    assert all(abs(found[r["source"]] - t) <= 50 for r, t in zip(wanted, targets, strict=True))

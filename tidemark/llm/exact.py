@@ -25,9 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import SPACE_BYTES, id_type, utf8
+from tidemark.llm.texts import SPACE_BYTES, id_type, marked, utf8
 from tidemark.sources.shared import store
-from tidemark.sources.tables import pick
 
 #: Bytes of labels that a level-1 trie holds before it spills a subtree.
 TRIE_BYTES = 48_000_000
@@ -117,16 +116,16 @@ def rank(points: int, doc_id: object, row: int) -> tuple:
     return (-points, doc_id is None, doc_id if doc_id is not None else 0, row)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES, row_col: str | None = None) -> DataFrame:
     """Classes of texts that are equal without ASCII white space.
 
     Returns one row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``. Of equal texts the row with the
     most code points in its original text stays, then the one with the smallest id; of rows that repeat an id and a
     length, one stays. Null texts count as empty; a null id sorts last; an empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. ``row_col`` names a long that tells rows apart; it is returned as a last column.
     """
     kind = id_type(docs, id_col)
-    rows = pick(docs, [(id_col, "doc_id"), (text_col, "text")])
+    rows = marked(docs, row_col, [(id_col, "doc_id"), (text_col, "text")])
     id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +148,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             best = [p[0] for _, p in block]
             return pa.record_batch([
                 pa.array([b[2] for b in best], id_arrow), pa.array([b[3] for b in best], pa.int64()), pa.array([p[2] for _, p in block], pa.int64()), pa.array([-b[0] for b in best], pa.int64()), pa.array([p[1] for _, p in block], pa.int64()),
-                pa.array([len(t) for t, _ in block], pa.int64()), pa.array([p[3] for _, p in block], pa.binary()), pa.array([t for t, _ in block], pa.binary()),
+                pa.array([len(t) for t, _ in block], pa.int64()), pa.array([p[3] for _, p in block], pa.binary()), pa.array([t for t, _ in block], pa.binary()), pa.nulls(n, pa.int64()),
             ], names)
 
-        names = ["doc_id", "row", "term", "points", "copies", "n_bytes", "sha", "body"]
+        names = ["doc_id", "row", "term", "points", "copies", "n_bytes", "sha", "body", "mark"]
         for batch in batches:
             ids = batch.column(0).to_pylist()
             points = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
@@ -176,10 +175,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield from spilled(trie.cut_largest())
             n = len(ids)
             empty = pa.nulls(n, pa.int64())
-            yield pa.record_batch([pa.array(ids, id_arrow), pa.array(range(first, row), pa.int64()), pa.array(out_term, pa.int64()), empty, empty, pa.array(out_len, pa.int64()), pa.array(out_sha, pa.binary()), pa.nulls(n, pa.binary())], names)
+            yield pa.record_batch([pa.array(ids, id_arrow), pa.array(range(first, row), pa.int64()), pa.array(out_term, pa.int64()), empty, empty, pa.array(out_len, pa.int64()), pa.array(out_sha, pa.binary()), pa.nulls(n, pa.binary()), batch.column(2)], names)
         yield from spilled(trie.drain())
 
-    level1 = store(rows.mapInArrow(local, f"doc_id {kind}, row bigint, term bigint, points bigint, copies bigint, n_bytes bigint, sha binary, body binary"), "exact-terms")
+    level1 = store(rows.mapInArrow(local, f"doc_id {kind}, row bigint, term bigint, points bigint, copies bigint, n_bytes bigint, sha binary, body binary, mark bigint"), "exact-terms")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def named() -> pa.RecordBatch:
@@ -208,9 +207,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     owners = (
         level1.where(F.col("body").isNotNull())
+        .drop("mark")
         .repartition("n_bytes", "sha")
         .sortWithinPartitions("n_bytes", "sha")
         .mapInArrow(merge, f"term bigint, keep_id {kind}, keep_row bigint, group_size bigint")
     )
-    members = level1.where(F.col("body").isNull()).select("doc_id", "row", "term", "sha")
-    return members.join(owners, "term").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    members = level1.where(F.col("body").isNull()).select("doc_id", "row", "term", "sha", "mark")
+    return members.join(owners, "term").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *([F.col("mark").alias(row_col)] if row_col else []))

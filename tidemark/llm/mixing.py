@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import id_type
+from tidemark.llm.texts import id_type, marked
 from tidemark.sources.shared import store
-from tidemark.sources.tables import pick
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents of a source that fly in one task.
@@ -114,18 +113,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, row_col: str | None = None) -> DataFrame:
     """How often each document enters a mix that gives each source its target number of words.
 
     Returns one row per input row: ``doc_id, size, source_size, target, taken, times``; ``taken`` is ``times * size``
     and ``times`` never exceeds ``most`` (rounded up to a whole number). Sources in code-point order (null last) weigh
     ``weights``, repeating; they share ``share`` of all sizes, capped at ``most`` times their own. Null texts have size
     0; documents of size 0 take no words. A repeated id is a unit for each of its rows. A source without words has
-    target 0. An empty table gives an empty result; other columns are ignored.
+    target 0. An empty table gives an empty result; other columns are ignored. ``row_col`` names a long that tells rows
+    apart; it is returned as a last column.
     """
     spark, kind = docs.sparkSession, id_type(docs, id_col)
-    units = pick(docs, [(id_col, "doc_id"), (text_col, "text"), (source_col, "source")])
-    units = units.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    units = marked(docs, row_col, [(id_col, "doc_id"), (text_col, "text"), (source_col, "source")])
+    units = units.select("doc_id", "source", word_count(F.col("text")).alias("size"), "mark")
     units = store(units, "mix-units")
     totals = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -140,11 +140,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     known = known.withColumn("block", F.pmod(F.col("draw"), F.col("blocks")))
     known = known.withColumn("whole", F.floor("rate")).withColumn("prob", F.col("rate") - F.floor("rate"))
 
-    shape = f"doc_id {kind}, source_no int, size bigint, source_size bigint, target double, whole bigint, prob double, draw bigint, block bigint"
+    shape = f"doc_id {kind}, source_no int, size bigint, source_size bigint, target double, whole bigint, prob double, draw bigint, block bigint, mark bigint"
 
     def fly(last: bool):
         def run(rows: pa.Table) -> pa.Table:
-            rows = rows.sort_by([("draw", "ascending"), ("size", "ascending")])
+            rows = rows.sort_by([("draw", "ascending"), ("size", "ascending"), ("mark", "ascending")])
             draw, size, prob = (rows[c].to_numpy() for c in ("draw", "size", "prob"))
             u = (draw.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) / float(1 << 53)
             prob = flight(size, prob, u)
@@ -164,4 +164,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         settled, rest = settled.unionByName(again.where(~fractional)), again.where(fractional)
     done = settled.unionByName(rest.groupBy("source_no").applyInArrow(fly(True), shape))
     times = (F.col("whole") + F.round("prob")).cast("bigint")
-    return done.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+    return done.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"), *([F.col("mark").alias(row_col)] if row_col else []))

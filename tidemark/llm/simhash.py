@@ -23,9 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import LOWER, id_type, map_batches, utf8
+from tidemark.llm.texts import LOWER, id_type, map_batches, marked, utf8
 from tidemark.sources.shared import store
-from tidemark.sources.tables import pick
 
 #: Words handled at once within a document.
 BLOCK_WORDS = 1 << 18
@@ -53,14 +52,14 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of each row as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, row_col: str | None = None) -> DataFrame:
+    """``doc_id, fp, mark``: the fingerprint of each row as a signed long, and the row's key (null without ``row_col``)."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t, width) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-        return pa.record_batch([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+        return pa.record_batch([batch.column(0), pa.array(fp), batch.column(2)], ["doc_id", "fp", "mark"])
 
-    return map_batches(pick(docs, [(id_col, "doc_id"), (text_col, "text")]), each, f"doc_id {id_type(docs, id_col)}, fp bigint")
+    return map_batches(marked(docs, row_col, [(id_col, "doc_id"), (text_col, "text")]), each, f"doc_id {id_type(docs, id_col)}, fp bigint, mark bigint")
 
 
 def linked(fps: np.ndarray, anchor: int, bits: int = 2) -> np.ndarray:
@@ -189,10 +188,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``component_id`` is the smallest id that can be reached. Null ids keep their row and never name a component that
     has another id. An empty table gives an empty result; other columns are ignored.
     """
-    prints = store(fingerprints(docs, id_col, text_col, width), "simhash-prints")
+    placed = in_components(docs, id_col, text_col, width)
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def kept_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """``row_col`` of one row of each component: of the rows with its smallest id (null if it has no other) the first."""
+    placed = in_components(docs, id_col, text_col, width, row_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return placed.groupBy("root").agg(F.min("mark").alias(row_col)).select(row_col)
+
+
+def in_components(docs: DataFrame, id_col: str, text_col: str, width: int, row_col: str | None = None) -> DataFrame:
+    """``doc_id, fp, mark, component_id, root``: each row's component by its smallest id and by a fingerprint in it."""
+    prints = store(fingerprints(docs, id_col, text_col, width, row_col), "simhash-prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct), "simhash-components")
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = named.join(tops, "root").select("fp", "component_id")
-    return prints.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    owner = named.join(tops, "root").select("fp", "component_id", "root")
+    return prints.join(owner, "fp").select("doc_id", "fp", "mark", "component_id", "root")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import pick
+
 #: The six ASCII white-space bytes of ``[\x20\x09-\x0D]``.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: Rows that a Python function sees at once: bounds what it holds beside the Arrow batch.
@@ -45,6 +47,11 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def marked(df: DataFrame, row_col: str | None, columns: Sequence[tuple[str, str]]) -> DataFrame:
+    """``pick`` with a last column ``mark``: the key in ``row_col`` that tells rows apart, null without one."""
+    return pick(df, [*columns, (row_col, "mark")]) if row_col else pick(df, columns).withColumn("mark", F.lit(None).cast("bigint"))
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus))
