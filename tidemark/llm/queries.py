@@ -56,7 +56,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with passages that repeat in others."""
+    """Passages that repeat in other documents, for every document."""
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
 
 
