@@ -117,7 +117,7 @@ def test_json_and_reasoning(spark):
     df = spark.createDataFrame([('{"k": 1}',), ("{bad",), (None,)], "props string")
     assert [(r["missing"], r["k_is_integer"]) for r in verification.json_check(df, ("k",)).collect()] == [(0, True), (1, False), (1, False)]
     steps = spark.createDataFrame([(1, 1, "a b c"), (1, 2, "a b c"), (1, 3, "x y z")], "chain int, step int, text string")
-    assert [r["verdict"] for r in verification.reasoning_chain(steps).orderBy("step").collect()] == ["premise", "circular", "unsupported_leap"]
+    assert [r["verdict"] for r in verification.reasoning_chain(steps).orderBy("step").collect()] == ["supported", "circular", "unsupported_leap"]
 
 
 def test_merkle_roots(spark):

@@ -83,18 +83,17 @@ def claim_conflicts(claims: DataFrame, relations: DataFrame) -> DataFrame:
     return both.unionByName(direct).unionByName(steps)
 
 
-def ancestors(edges: DataFrame, most_rounds: int = 32) -> DataFrame:
+def ancestors(edges: DataFrame) -> DataFrame:
     """``node, ancestor``: the transitive closure of ``child, parent`` edges; paths double each round."""
     closure = store(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct(), "closure")
     size = closure.count()
-    for _ in range(most_rounds):
+    while True:
         longer = closure.join(closure.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("higher")), "ancestor").select("node", F.col("higher").alias("ancestor"))
         closure = store(closure.unionByName(longer).distinct(), "closure")
         grown = closure.count()
         if grown == size:
             return closure
         size = grown
-    raise RuntimeError(f"more than {most_rounds} rounds")
 
 
 def ontology_conflicts(assertions: DataFrame, classes: DataFrame, edges: DataFrame, disjoint: DataFrame) -> DataFrame:
@@ -112,7 +111,7 @@ def ontology_conflicts(assertions: DataFrame, classes: DataFrame, edges: DataFra
     return unknown.unionByName(pairs.select("individual", F.lit("disjoint_conflict").alias("kind"), "class_a", "class_b"))
 
 
-def shortest_paths(edges: DataFrame, start: int, most_rounds: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: int) -> DataFrame:
     """``node, cost``: least cost from ``start`` along ``src, dst, cost`` edges of non-negative whole costs.
 
     Only nodes whose cost fell in a round pass it on in the next; each round's costs are a written table.
@@ -120,13 +119,12 @@ def shortest_paths(edges: DataFrame, start: int, most_rounds: int = 64) -> DataF
     best = store(edges.sparkSession.createDataFrame([(start, 0)], "node bigint, cost bigint"), "paths")
     changed = best
     hops = edges.groupBy("src", "dst").agg(F.min("cost").alias("step"))
-    for _ in range(most_rounds):
+    while True:
         offers = changed.join(hops, changed["node"] == hops["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("offer"))
         merged = store(best.join(offers, "node", "full").select("node", F.least("cost", "offer").alias("cost"), (F.col("cost").isNull() | (F.col("offer") < F.col("cost"))).alias("fell")), "paths")
         best, changed = merged.select("node", "cost"), merged.where("fell").select("node", "cost")
         if changed.isEmpty():
             return best
-    raise RuntimeError(f"more than {most_rounds} rounds")
 
 
 def equilibria(payoffs: DataFrame) -> DataFrame:

@@ -138,12 +138,29 @@ def fuse(rankings: list[tuple[DataFrame, float]], n: int = 5, k: int = 60) -> Da
     return top(fused, F.col("fused"), n)
 
 
-def keyword_facts(facts: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, answer``: values of facts with any key word among the query's words, joined by ``; `` in key order."""
-    f = facts.select("fact_id", "value", F.explode(T.words(F.col("key"))).alias("term"))
-    q = queries.select("query_id", F.explode(T.words(F.col("text"))).alias("term"))
-    hits = q.join(f, "term").select("query_id", "fact_id", "value").distinct()
-    return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fact_id", "value"))), lambda x: x["value"]), "; ").alias("answer"), F.count(F.lit(1)).alias("n_facts"))
+def keyword_facts(facts: DataFrame, queries: DataFrame, n: int = 0, tenant: str = "") -> DataFrame:
+    """``query_id, answer, n_facts``: values of facts any of whose key words lies within the query, joined by ``; ``.
+
+    Facts (``fact_id, key, value``) come in the order of their ids, ``n`` of them at most (0: all). Keys and queries are
+    lower-cased, keys split at white space; a key word may be part of a longer word. Under a ``tenant`` only keys that
+    begin with ``tenant:`` count, without that prefix. Queries without a hit have no row. Key words meet queries by
+    their first three characters, an equi-join, and are tested for containment afterwards.
+    """
+    key = F.col("key")
+    if tenant:
+        facts, key = facts.where(key.startswith(f"{tenant}:")), F.substring(key, len(tenant) + 2, 2**31 - 1)
+    f = facts.select("fact_id", "value", F.explode(F.array_distinct(F.filter(F.split(F.lower(key), r"\s+"), lambda w: w != ""))).alias("word"))
+    f = f.withColumn("gram", F.substring("word", 1, 3))
+    q = queries.select("query_id", F.lower("text").alias("text")).where(F.char_length("text") > 0)
+    places = F.sequence(F.lit(1), F.char_length("text"))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring(F.col("text"), i, F.lit(k)) for k in (1, 2, 3)]))))
+    # The text is not carried through the explode: words that a gram admits are few, and meet their query again.
+    near = q.select("query_id", F.explode(grams).alias("gram")).join(f.select("gram", "word").distinct(), "gram").select("query_id", "word").distinct()
+    inside = q.join(near, "query_id").where(F.contains("text", "word")).select("query_id", "word")
+    hits = inside.join(f, "word").select("query_id", "fact_id", "value").distinct()
+    found = F.array_sort(F.collect_list(F.struct("fact_id", "value")))
+    found = F.slice(found, 1, n) if n else found
+    return hits.groupBy("query_id").agg(found.alias("found")).select("query_id", F.array_join(F.transform("found", lambda x: x["value"]), "; ").alias("answer"), F.size("found").cast("bigint").alias("n_facts"))
 
 
 def chunk_paragraphs(docs: DataFrame, most_words: int = 120) -> DataFrame:

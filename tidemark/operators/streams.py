@@ -36,13 +36,28 @@ def fixed_cadence(tokens: DataFrame, every: int = 4) -> DataFrame:
     return t.withColumn("in_force", F.last(F.when(F.col("pos") % every == 0, F.col("milli")), ignorenulls=True).over(w)).select("session", "idx", "milli", "in_force")
 
 
-def contradictions(turns: DataFrame, within: int = 20) -> DataFrame:
-    """``conv_id, n_pairs, mean_divergence, worst`` over pairs of turns at most ``within`` apart (1 - word Jaccard)."""
-    t = turns.select("conv_id", "turn", T.words(F.coalesce("text", F.lit(""))).alias("w"))
+def contradictions(turns: DataFrame, most: int = 20) -> DataFrame:
+    """``conv_id, n_pairs, contradiction_index, worst_a, worst_b, trend`` over the last ``most`` turns of a conversation.
+
+    A pair's divergence is 1 - word Jaccard. The worst pair (positions from 0 among those turns) is the first with the
+    largest divergence, null where none is above 0. The trend is the mean of the later half of the pairs, in the order of their first and
+    second turn, minus that of the earlier half; 0 below three pairs. Conversations of one turn have no pairs.
+    """
+    w = Window.partitionBy("conv_id")
+    t = turns.select("conv_id", "turn", "text").withColumn("back", F.row_number().over(w.orderBy(F.desc("turn")))).where(F.col("back") <= most)
+    t = t.withColumn("pos", F.row_number().over(w.orderBy("turn")) - 1).select("conv_id", "pos", T.words(F.coalesce("text", F.lit(""))).alias("w"))
     a, b = t.alias("a"), t.alias("b")
-    pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")) & (F.col("b.turn") - F.col("a.turn") <= within))
-    d = F.round(1 - T.jaccard(F.col("a.w"), F.col("b.w")), 9)
-    return pairs.select(F.col("a.conv_id").alias("conv_id"), d.alias("d")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("mean_divergence"), F.max("d").alias("worst"))
+    pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.pos") < F.col("b.pos")))
+    pairs = pairs.select(F.col("a.conv_id").alias("conv_id"), F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), F.round(1 - T.jaccard(F.col("a.w"), F.col("b.w")), 9).alias("d"))
+    pairs = pairs.withColumns({"nth": F.row_number().over(w.orderBy("i", "j")), "half": F.floor(F.count(F.lit(1)).over(w) / 2)})
+    early = F.col("nth") <= F.col("half")
+    found = pairs.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.max("d").alias("contradiction_index"), F.max(F.when(F.col("d") > 0, F.struct("d", (-F.col("i")).alias("i"), (-F.col("j")).alias("j")))).alias("top"),
+        (F.avg(F.when(~early, F.col("d"))) - F.avg(F.when(early, F.col("d")))).alias("trend"),
+    )
+    alone = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("conv_id", F.lit(0).cast("bigint").alias("n_pairs"), F.lit(0.0).alias("contradiction_index"), F.lit(None).cast("int").alias("worst_a"), F.lit(None).cast("int").alias("worst_b"), F.lit(0.0).alias("trend"))
+    trend = F.when(F.col("n_pairs") >= 3, F.col("trend")).otherwise(0.0)
+    return found.select("conv_id", "n_pairs", "contradiction_index", (-F.col("top.i")).alias("worst_a"), (-F.col("top.j")).alias("worst_b"), trend.alias("trend")).unionByName(alone)
 
 
 def cross_turn(turns: DataFrame, back: int = 3) -> DataFrame:

@@ -57,7 +57,7 @@ def trajectory_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.preflight(draws).select("prompt", "n", *r6("halt_rate", "mean", "deviation"), "low", "high", "action")
 
 
-_RELATIONS = "relations AS (SELECT src AS source, dst AS target, CASE WHEN (src * 31 + dst) % 40 = 0 THEN 'contradicts' ELSE 'implies' END AS kind FROM edges WHERE (src + dst) % 5 = 0)"
+_RELATIONS = "relations AS (SELECT src AS source, dst AS target, CASE WHEN (src * 31 + dst) % 40 = 0 THEN 'contradicts' ELSE 'implies' END AS kind FROM edges)"
 
 
 @query(f"""WITH {EDGES}, {_RELATIONS}, claims AS (SELECT l_partkey AS id, l_returnflag = 'R' AS negated FROM lineitem)
@@ -69,7 +69,7 @@ def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_returnflag") == "R").alias("negated"))
     src, dst = F.col("src"), F.col("dst")
     kind = F.when((src * 31 + dst) % 40 == 0, "contradicts").otherwise("implies")
-    relations = graphs.interactions(views.audit(spark, sf_dir)).where((src + dst) % 5 == 0).select(src.alias("source"), dst.alias("target"), kind.alias("kind"))
+    relations = graphs.interactions(views.audit(spark, sf_dir)).select(src.alias("source"), dst.alias("target"), kind.alias("kind"))
     return A.claim_conflicts(claims, relations)
 
 

@@ -299,13 +299,13 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense(vectors, vectors.where("vec_id % 100 = 0")).select("query_id", "doc_id", *r6("score"), "rank")
 
 
-@query(r"""WITH f AS (SELECT item_id AS fact_id, text AS value, unnest(list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[\p{L}\p{N}_]+'))) AS term FROM benchmark),
-    q AS (SELECT DISTINCT conv_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM conversations), h AS (SELECT DISTINCT query_id, fact_id, value FROM q JOIN f USING (term))
+@query(r"""WITH f AS (SELECT item_id AS fact_id, text AS value, unnest(list_filter(string_split_regex(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '\s+'), lambda w: w <> '')) AS word FROM benchmark),
+    q AS (SELECT conv_id AS query_id, lower(string_agg(text, ' ' ORDER BY turn)) AS text FROM conversations GROUP BY 1), h AS (SELECT DISTINCT query_id, fact_id, value FROM q JOIN f ON contains(q.text, f.word))
     SELECT query_id, md5(string_agg(value, '; ' ORDER BY fact_id)) AS answer_md5, count(*) AS n_facts FROM h GROUP BY 1""")
 def keyword_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts whose key shares a word with a conversation."""
+    """Facts with a key word within a conversation."""
     facts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("key"), F.col("text").alias("value"))
-    queries = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    queries = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("turn", "text")))), lambda x: x["text"]), " ").alias("text"))
     return retrieval.keyword_facts(facts, queries).select("query_id", F.md5("answer").alias("answer_md5"), "n_facts")
 
 
@@ -338,11 +338,16 @@ def score_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.fixed_cadence(tokens(spark, sf_dir))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, {S.words("coalesce(text, '')")} AS w FROM conversations), p AS (SELECT a.conv_id, round(1 - {S.jaccard("a.w", "b.w")}, 9) AS d FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn AND b.turn - a.turn <= 20)
-    SELECT conv_id, count(*) AS n_pairs, round(avg(d), 6) AS mean_divergence, round(max(d), 6) AS worst FROM p GROUP BY conv_id""")
+@query(f"""WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+    t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, {S.words("coalesce(text, '')")} AS w FROM r WHERE back <= 20),
+    p AS (SELECT a.conv_id, a.pos AS i, b.pos AS j, round(1 - {S.jaccard("a.w", "b.w")}, 9) AS d FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.pos < b.pos),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i, j) AS nth, count(*) OVER (PARTITION BY conv_id) // 2 AS half, row_number() OVER (PARTITION BY conv_id ORDER BY d DESC, i, j) AS place FROM p)
+    SELECT conv_id, count(*) AS n_pairs, round(max(d), 6) AS contradiction_index, (max(i) FILTER (WHERE place = 1 AND d > 0))::INT AS worst_a, (max(j) FILTER (WHERE place = 1 AND d > 0))::INT AS worst_b,
+        round(CASE WHEN count(*) >= 3 THEN avg(d) FILTER (WHERE nth > half) - avg(d) FILTER (WHERE nth <= half) ELSE 0.0 END, 6) AS trend FROM o GROUP BY conv_id
+    UNION ALL SELECT conv_id, 0, 0.0, NULL, NULL, 0.0 FROM conversations GROUP BY conv_id HAVING count(*) = 1""")
 def contradiction_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Divergences between the turns of each conversation."""
-    return streams.contradictions(table(spark, sf_dir, "conversations")).select("conv_id", "n_pairs", *r6("mean_divergence", "worst"))
+    """Self-contradiction over the last twenty turns of each conversation."""
+    return streams.contradictions(table(spark, sf_dir, "conversations")).select("conv_id", "n_pairs", *r6("contradiction_index"), "worst_a", "worst_b", *r6("trend"))
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, text, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS n FROM conversations)
@@ -398,28 +403,87 @@ def json_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.json_check(table(spark, sf_dir, "events"), ("k",)).select("event_id", "valid_json", "missing", "k_is_integer")
 
 
-@query(rf"""WITH {ATTACKED}, y AS (SELECT doc_id, text, regexp_extract_all(text, '\b(?:1\d{{3}}|2\d{{3}})\b') AS y, regexp_extract_all(text, '(?i)(\d+)\s*%\s+(?:chance|probability|likelihood)', 1) AS c FROM attacked)
-    SELECT doc_id, len(regexp_extract_all(text, '\d+')) AS n_numbers, len(y) AS n_years, len(list_filter(y, lambda v: v::INT > 2029)) AS far_future, len(list_filter(c, lambda v: v::BIGINT > 100)) AS bad_probability FROM y""")
+SCHEMA = {"type": "object", "properties": {"k": {"type": "integer"}, "s": {"type": "string"}}, "required": ["k", "s"], "additionalProperties": False}
+
+
+@query("""WITH j AS (SELECT event_id, CASE WHEN json_valid(props) THEN props END AS p FROM events), t AS (SELECT event_id, p, json_type(p) AS root, json_type(p, '$.k') AS k, json_type(p, '$.s') AS s, len(list_filter(json_keys(p), lambda x: x NOT IN ('k', 's'))) AS extra FROM j)
+    SELECT event_id, p IS NOT NULL AS valid_json, CASE WHEN root = 'OBJECT' THEN (k IS NULL)::INT + (s IS NULL)::INT ELSE 0 END AS n_missing, coalesce((root = 'OBJECT' AND k IS NOT NULL AND k NOT IN ('UBIGINT', 'BIGINT'))::INT + (root = 'OBJECT' AND s IS NOT NULL AND s <> 'VARCHAR')::INT + (root <> 'OBJECT')::INT, 0) AS n_wrong_type,
+        CASE WHEN root = 'OBJECT' THEN extra ELSE 0 END::INT AS n_extra, CASE WHEN p IS NOT NULL THEN coalesce(root = 'OBJECT' AND k IN ('UBIGINT', 'BIGINT') AND s = 'VARCHAR' AND extra = 0, false) END AS schema_valid FROM t""")
+def json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties against a schema with types, required and closed properties."""
+    return verification.json_schema(table(spark, sf_dir, "events"), SCHEMA).select("event_id", "valid_json", "n_missing", "n_wrong_type", "n_extra", "schema_valid")
+
+
+#: Numeric statements put behind documents by ``doc_id % 8``, right and wrong ones.
+NUMERIC = (
+    " Revenue grew 20% from $100 to $130.", " Sales rose by 50 % from 2,000 million to 3,000 million; a total of 10 and a total of 12.", " Born in 1950, the writer died in 1940.", " There is a 130% chance, or -5 percent probability.",
+    " Earth has a human population of 20 billion; the speed of light is 299,792 km/s.", " Founded in 2090, a total of 1,000 and total 1,004.",
+)
+STATED = "stated AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(NUMERIC)) + " ELSE '' END AS text FROM documents)"
+
+
+def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text``: every document, most with a numeric statement appended."""
+    extra, k = F.lit(""), F.col("doc_id") % 8
+    for i, a in enumerate(NUMERIC):
+        extra = F.when(k == i, a).otherwise(extra)
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), extra).alias("text"))
+
+
+def _numeric_sql() -> str:
+    """Numeric issues; patterns without a look-around are the same in both engines."""
+    v = verification
+    found = lambda p, g=1, t="text": f"list_transform(regexp_extract_all({t}, {S.rx(p)}, {g}), lambda x: replace(x, ',', '')::DOUBLE)"
+    one = lambda p: f"TRY_CAST(replace(regexp_extract(text, {S.rx(p)}, 1), ',', '') AS DOUBLE)"
+    return f"""WITH {STATED}, g AS (SELECT doc_id, {", ".join(f"{found(v.PERCENT_CHANGE, k)} AS c{k}" for k in (1, 2, 3))}, {found(v.YEAR)} AS years, {found(v.CHANCE)} AS chances, {found(v.TOTAL)} AS totals,
+            {found(v.BORN, 1, "lower(text)")} AS born, {found(v.DIED, 1, "lower(text)")} AS died, {found(v.FOUNDED, 1, "lower(text)")} AS founded,
+            {one(v.EARTH)} / CASE WHEN lower(regexp_extract(text, {S.rx(v.EARTH)}, 2)) = 'million' THEN 1000 ELSE 1 END AS people, {one(v.LIGHT)} AS light FROM stated),
+        n AS (SELECT doc_id, len(list_filter(range(1, len(c1) + 1), lambda i: c2[i] > 0 AND abs(abs(c3[i] - c2[i]) / c2[i] * 100 - c1[i]) > 1.0)) AS bad_change, len(list_filter(years, lambda y: y > 2029)) AS far_future,
+            coalesce(list_sum(list_transform(born, lambda b: len(list_filter(died, lambda d: d < b)))), 0) + len(list_filter(founded, lambda y: y > 2024)) AS bad_order, len(list_filter(chances, lambda x: x > 100 OR x < 0)) AS bad_probability,
+            coalesce((people < 6 OR people > 12)::INT, 0) + coalesce((light < 200000 OR light > 400000)::INT, 0) AS bad_magnitude, len(list_filter(totals, lambda t: abs(t - totals[1]) > 0.01 * greatest(totals[1], 1.0))) AS bad_total FROM g)
+        SELECT doc_id, {", ".join(f"{c}::BIGINT AS {c}" for c in NUMERIC_KINDS)}, bad_change + bad_order + bad_probability + bad_total = 0 AS valid FROM n"""
+
+
+NUMERIC_KINDS = ("bad_change", "far_future", "bad_order", "bad_probability", "bad_magnitude", "bad_total")
+
+
+@query(_numeric_sql())
 def numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers, years and probabilities in documents."""
-    return verification.numeric_claims(attacked(spark, sf_dir), 2024).select("doc_id", *longs("n_numbers", "n_years", "far_future", "bad_probability"))
+    """Numeric issues of documents, by kind."""
+    return verification.numeric_claims(stated(spark, sf_dir), 2024).select("doc_id", *longs(*NUMERIC_KINDS), "valid")
+
+
+@query()
+def reasoning_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of documents read as chains of thought; their patterns look ahead, which DuckDB's cannot."""
+    steps = table(spark, sf_dir, "documents").select("doc_id", verification.reasoning_steps(F.coalesce("text", F.lit(""))).alias("steps"))
+    return steps.select("doc_id", F.size("steps").alias("n_steps"), verification.conclusions(F.col("steps")).alias("n_conclusions"), F.md5(F.array_join("steps", "\n")).alias("steps_md5"))
 
 
-@query(f"""WITH s AS (SELECT conv_id AS chain, turn AS step, {S.words("coalesce(text, '')")} AS w FROM conversations),
-    b AS (SELECT a.chain, a.step, round(max(CASE WHEN b.step IS NOT NULL THEN {S.jaccard("a.w", "b.w")} END), 9) AS best, count(b.step) AS earlier FROM s a LEFT JOIN s b ON a.chain = b.chain AND b.step < a.step GROUP BY 1, 2)
-    SELECT chain, step, round(best, 6) AS best, CASE WHEN earlier = 0 THEN 'premise' WHEN best > 0.85 THEN 'circular' WHEN best >= 0.3 THEN 'supported' WHEN best < 0.05 THEN 'unsupported_leap' ELSE 'non_sequitur' END AS verdict FROM b""")
+@query(rf"""WITH s AS (SELECT conv_id AS chain, turn AS step, list_distinct(list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: trim(w, {S.rx(verification.PUNCTUATION)})), lambda w: w <> '')) AS w FROM conversations),
+    b AS (SELECT a.chain, a.step, max(CASE WHEN b.step IS NOT NULL THEN {S.jaccard("a.w", "b.w")} END) AS best, count(b.step) AS earlier FROM s a LEFT JOIN s b ON a.chain = b.chain AND b.step < a.step GROUP BY 1, 2)
+    SELECT chain, step, round(best, 6) AS best, CASE WHEN earlier = 0 THEN 'supported' WHEN best > 0.85 THEN 'circular' WHEN 1 - best <= 0.3 THEN 'supported' WHEN 1 - (1 - best) < 0.1 THEN 'unsupported_leap' ELSE 'non_sequitur' END AS verdict
+    FROM b WHERE chain IN (SELECT chain FROM s GROUP BY 1 HAVING count(*) >= 2)""")
 def reasoning_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against all earlier ones of its conversation."""
     steps = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chain"), F.col("turn").alias("step"), "text")
     return verification.reasoning_chain(steps).select("chain", "step", *r6("best"), "verdict")
 
 
-@query("""SELECT e.event_id AS call_id, e.event_type AS name, e.event_type IN ('click', 'view', 'purchase') AS known, o.o_orderkey IS NOT NULL AS executed FROM events e LEFT JOIN (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'F') o ON o.o_orderkey = e.event_id""")
+@query(r"""WITH c AS (SELECT event_id AS call_id, event_type AS name, json_extract_string(props, '$.k') AS k, user_id % 5 = 0 AS extra, floor(value)::BIGINT::VARCHAR AS result FROM events),
+    l AS (SELECT event_type AS name, json_extract_string(props, '$.k') AS k, min(floor(value)::BIGINT::VARCHAR) AS result FROM events WHERE event_type <> 'error' GROUP BY 1, 2)
+    SELECT call_id, c.name, c.name IN ('click', 'view', 'purchase') AS known, 0 AS n_missing, CASE WHEN c.name = 'click' AND coalesce(NOT regexp_matches(c.k, '^[0-4]\d*$'), true) THEN 1 ELSE 0 END AS n_wrong_type,
+        CASE WHEN c.name IN ('click', 'view', 'purchase') AND extra THEN 1 ELSE 0 END AS n_extra, NOT (c.name = 'click' AND coalesce(NOT regexp_matches(c.k, '^[0-4]\d*$'), true)) AS arguments_valid, c.name <> 'error' AS executed,
+        NOT extra AND l.name IS NOT NULL AS same_arguments, c.name = 'error' OR (NOT extra AND l.name IS NOT NULL AND l.result IS DISTINCT FROM c.result) AS fabricated
+    FROM c LEFT JOIN l ON c.name = l.name AND c.k IS NOT DISTINCT FROM l.k""")
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool calls against a manifest and an execution log."""
-    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.col("event_type").alias("name"))
-    manifest = spark.createDataFrame([("click",), ("view",), ("purchase",)], "name string")
-    log = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("call_id"))
+    """Tool calls against a manifest with parameters and an execution log."""
+    e = table(spark, sf_dir, "events")
+    k, result = F.get_json_object("props", "$.k"), F.floor("value").cast("bigint").cast("string")
+    given = F.when(F.col("user_id") % 5 == 0, F.create_map(F.lit("k"), k, F.lit("z"), F.lit("1"))).otherwise(F.create_map(F.lit("k"), k))
+    calls = e.select(F.col("event_id").alias("call_id"), F.col("event_type").alias("name"), given.alias("arguments"), result.alias("result"))
+    manifest = spark.createDataFrame([("click", "k", True, r"^[0-4]\d*$"), ("view", "k", True, None), ("purchase", "k", False, None)], "name string, parameter string, required boolean, pattern string")
+    log = e.where("event_type <> 'error'").select(F.col("event_type").alias("name"), F.create_map(F.lit("k"), k).alias("arguments"), result.alias("result"))
     return verification.tool_calls(calls, manifest, log)
 
 

@@ -52,13 +52,13 @@ def retrieval_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.retrieval_route(views.pairs(spark, sf_dir)).select("pair_id", "task_type", "retrieve", "route_confidence")
 
 
-@query(rf"""WITH {views.SQL["pairs"]}, j AS (SELECT pair_id, a || ' and ' || b || '? ' || b AS q FROM (SELECT pair_id, premise AS a, substr(hypothesis, 1, 60) AS b FROM pairs)),
+@query(rf"""WITH {views.SQL["pairs"]}, j AS (SELECT pair_id, a || ' and ' || b || '? ' || b AS q FROM (SELECT pair_id, premise AS a, hypothesis AS b FROM pairs)),
     s AS (SELECT pair_id, q, string_split(regexp_replace(regexp_replace(q, '\s*[?]\s+([A-Za-z])', chr(1) || '\1', 'g'), '(?i)\s*(?:\band\b|\bor\b|\balso\b|\badditionally\b|[;]\s*|\d+[.)]\s)\s*', chr(1), 'g'), chr(1)) AS p FROM j),
     k AS (SELECT pair_id, q, list_filter(list_transform(p, lambda x: trim(rtrim(trim(x, ' ' || chr(9) || chr(10) || chr(13)), '?'), ' ' || chr(9) || chr(10) || chr(13))), lambda x: length(x) >= 8) AS k FROM s),
     f AS (SELECT pair_id, CASE WHEN len(k) > 0 THEN k ELSE [q] END AS k FROM k) SELECT pair_id, generate_subscripts(k, 1)::INT AS part, md5(unnest(k)) AS part_md5 FROM f""")
 def query_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compound queries (two texts joined) split into their questions, as digests."""
-    b = F.substring("hypothesis", 1, 60)
+    b = F.col("hypothesis")
     joined = views.pairs(spark, sf_dir).select("pair_id", F.concat("premise", F.lit(" and "), b, F.lit("? "), b).alias("q"))
     return joined.select("pair_id", F.posexplode(E.sub_queries(F.col("q"))).alias("i", "part")).select("pair_id", (F.col("i") + 1).alias("part"), F.md5("part").alias("part_md5"))
 
