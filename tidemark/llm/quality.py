@@ -5,8 +5,8 @@ bytes slide over each chunk (every second position); a filter is a table of one
 a response is a sum of table look-ups. Rectified responses are max-pooled within each chunk; the pooled values are
 combined over the chunks, as their mean and their maximum, and one logistic unit makes a probability of them.
 
-Training keeps the network small and its sample bounded: ``SAMPLE_DOCS`` labelled documents at most, each with
-``SAMPLE_CHUNKS`` chunks spread evenly over it. Scoring reads every byte.
+Training keeps the network small and its sample bounded: ``SAMPLE_DOCS`` labelled documents at most, whole. Scoring
+reads every byte.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from tidemark.llm.texts import id_type, map_batches, packed, remainder
 from tidemark.sources.tables import pick
 
 CHUNK, OVERLAP, WIDTH, STRIDE, FILTERS = 512, 32, 6, 2, 16
-#: Bounds of the training sample.
-SAMPLE_DOCS, SAMPLE_CHUNKS = 2400, 12
+#: Bound of the training sample, in rows.
+SAMPLE_DOCS = 2400
 #: Stands for positions past a document's end; its weights stay zero.
 PAD = 256
 #: Chunks that go through the filters at once.
@@ -35,7 +35,8 @@ def chunk_matrix(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """(chunks, CHUNK) byte codes; positions at or past a chunk's end are PAD."""
     at = starts[:, None] + np.arange(CHUNK)
     inside = at < ends[:, None]
-    return np.where(inside, flat[np.minimum(at, max(len(flat) - 1, 0))] if len(flat) else 0, PAD).astype(np.uint16)
+    codes = flat[np.minimum(at, len(flat) - 1)].astype(np.uint16) if len(flat) else np.zeros(at.shape, np.uint16)
+    return np.where(inside, codes, np.uint16(PAD))  # in 16 bits from the start: PAD would wrap round to byte 0
 
 
 def chunk_spans(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +85,10 @@ class ByteConvNet:
 
 
 def fit(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 8, seed: int = 5) -> ByteConvNet:
-    """Train by Adam on documents given as chunks; the gradient of a maximum goes to the position that holds it."""
+    """Train by Adam on documents given as chunks; the gradient of a maximum goes to the position that holds it.
+
+    Responses are kept for ``BLOCK`` chunks at a time, so a long document costs time, not memory.
+    """
     rng = np.random.default_rng(seed)
     net = ByteConvNet(rng.normal(0, 0.3, (WIDTH, PAD + 1, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS), rng.normal(0, 0.3, FILTERS), 0.0)
     net.table[:, PAD] = 0
@@ -102,9 +106,12 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 8, seed: int
             doc = np.repeat(np.arange(len(batch)), [len(texts[i]) for i in batch])
             offsets = np.cumsum([0, *map(len, chunks)])
             x = chunk_matrix(np.frombuffer(b"".join(chunks), np.uint8), offsets[:-1], offsets[1:])
-            r = np.concatenate([net.responses(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)])
-            where = r.argmax(axis=1)
-            pool = np.maximum(np.take_along_axis(r, where[:, None], 1)[:, 0] + net.bias, 0)
+            where, tops = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), np.float32)
+            for k in range(0, len(x), BLOCK):
+                r = net.responses(x[k : k + BLOCK])
+                where[k : k + BLOCK] = r.argmax(axis=1)
+                tops[k : k + BLOCK] = np.take_along_axis(r, where[k : k + BLOCK, None], 1)[:, 0]
+            pool = np.maximum(tops + net.bias, 0)
             first = np.flatnonzero(np.diff(doc, prepend=-1))
             n = np.diff(first, append=len(doc))[:, None]
             mean, most = np.add.reduceat(pool, first, axis=0) / n, np.maximum.reduceat(pool, first, axis=0)
@@ -128,32 +135,31 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 8, seed: int
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", where: Column | None = None, sample_docs: int = SAMPLE_DOCS, sample_chunks: int = SAMPLE_CHUNKS, seed: int = 5) -> ByteConvNet:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", where: Column | None = None, sample_docs: int = SAMPLE_DOCS, seed: int = 5) -> ByteConvNet:
     """Learn from a bounded sample of labelled documents.
 
     ``where`` (over the column ``doc_id``) says which rows may be learned from. At most half of ``sample_docs`` rows of
-    either label are drawn by a hash of their id, from the narrow label table; only their sampled chunks reach the
-    driver. Rows with a null id, label or text teach nothing. Label 0 is rarer as a rule, so the two are drawn alike
+    either label are drawn by a hash of their id, from the narrow label table; their chunks reach the driver. Rows with a
+    null id, label or text teach nothing; of an id with both labels the smaller counts, of an id with several texts all. Label 0 is rarer as a rule, so the two are drawn alike
     and the output bias is moved to the labels' true shares afterwards.
     """
     marked = pick(labels, [(id_col, "doc_id"), (label_col, "label")]).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (F.lit(True) if where is None else where))
     counts = {int(r["label"]): r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = [marked.where(F.col("label") == v).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_docs // 2) for v in (0, 1)]
-    chosen = drawn[0].unionByName(drawn[1]).dropDuplicates(["doc_id"])
+    chosen = drawn[0].unionByName(drawn[1]).groupBy("doc_id").agg(F.min("label").alias("label"))
     rows = pick(docs, [(id_col, "doc_id"), (text_col, "text")]).where(F.col("text").isNotNull())
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most sample_docs rows
+    rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", F.xxhash64("text").alias("h"))  # at most sample_docs ids
 
     def sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, offsets = packed(batch.column(1))
         doc, starts, ends = chunk_spans(offsets)
         out = []
         for i in range(batch.num_rows):
-            own = np.flatnonzero(doc == i)
-            own = own[np.unique(np.linspace(0, len(own) - 1, min(len(own), sample_chunks)).round().astype(int))]
-            out.append([flat[starts[k] : ends[k]].tobytes() for k in own])
-        return pa.record_batch([batch.column(0).cast(pa.string()), batch.column(2).cast(pa.int32()), pa.array(out, pa.list_(pa.binary()))], ["key", "label", "chunks"])
+            out.append([flat[starts[k] : ends[k]].tobytes() for k in np.flatnonzero(doc == i)])
+        return pa.record_batch([batch.column(0).cast(pa.string()), batch.column(2).cast(pa.int32()), batch.column(3), pa.array(out, pa.list_(pa.binary()))], ["key", "label", "h", "chunks"])
 
-    sample = sorted(map_batches(rows, sampled, "key string, label int, chunks array<binary>").limit(2 * sample_docs).collect(), key=lambda r: (r["key"], r["chunks"]))
+    # Ids that repeat are bounded too: the same rows whenever it runs.
+    sample = map_batches(rows, sampled, "key string, label int, h bigint, chunks array<binary>").orderBy("key", "h").limit(2 * sample_docs).collect()
     y = np.array([r["label"] for r in sample], float)
     net = fit([[bytes(c) for c in r["chunks"]] for r in sample], y, seed=seed)
     if 0 < y.sum() < len(y):
