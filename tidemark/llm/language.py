@@ -1,13 +1,18 @@
 """Language identification with error-correcting output codes.
 
-Each language has a codeword. For each code bit a linear classifier over hashed byte n-grams (one to four bytes) learns to tell the
+Each language has a codeword. For each code bit a linear classifier over hashed byte n-grams (one to four bytes) tells the
 languages whose bit is 1 from the others. A text's n-gram weights give one margin per bit; decoding sums the logistic
 loss of every language's bits against the margins and takes the nearest codeword. The score is the softmax of the
 negative losses; a text is flagged ambiguous when the two nearest codewords are about as near.
+
+Training is a sum: executors add up the n-gram frequencies of a bounded sample of rows for each language, and the driver
+gets one vector a language, whatever the number of rows. A bit's weights are the logarithms of how much more frequent an
+n-gram is on one side of the bit than on the other, languages weighing alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -21,11 +26,17 @@ from tidemark.llm.texts import id_type, map_batches, packed, remainder
 from tidemark.sources.tables import pick
 
 DIMS = 1 << 14
-#: Labelled rows that a language contributes to training, about; and the languages that a model can hold.
-ROWS_PER_LANG, MAX_LANGS = 500, 256
+#: Labelled rows that a language contributes to training, about.
+ROWS_PER_LANG = 500
 UNKNOWN = "und"
+#: How much of an even spread of n-grams each language's frequencies are mixed with.
+SMOOTHING = 0.05
+#: The margin that a language's own mean has for its bits, on average.
+TYPICAL = 2.0
 #: Bytes that are hashed at once.
 BLOCK_BYTES = 1 << 20
+#: Languages whose sums a task holds at once, 128 KB each.
+HELD_LANGS = 256
 #: Spaces between texts: one fewer than the longest n-gram.
 GAP = 3
 
@@ -114,46 +125,79 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learn from a bounded sample of labelled rows.
 
     ``where`` (over the column ``doc_id``) says which rows may be learned from. About ``rows_per_lang`` rows of each
-    language are drawn by a hash of their id; their whole texts become n-gram frequencies on the executors, and only
-    these sparse vectors reach the driver. Rows without text, label or id teach nothing.
+    language are drawn by a hash of their id (all rows of an id, or none); their whole texts become n-gram frequencies,
+    which are added up by language on the executors. Every language that has a row is learned. Rows without text,
+    label or id teach nothing.
     """
     rows = pick(docs, [(id_col, "doc_id"), (text_col, "text"), (lang_col, "lang")])
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if where is None else where))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003))
+    # One row a language; a language whose few rows were all missed is drawn whole by its smallest draw.
+    least = rows.groupBy("lang").agg(F.min(draw).alias("low"), F.count(F.lit(1)).alias("n"))
+    limits = [(r["lang"], max(r["low"] + 1, int(rows_per_lang / r["n"] * 1_000_003))) for r in least.collect()]
+    if not limits:
         return LanguageModel([], np.zeros((0, 1), np.int8), np.zeros((DIMS, 1), np.float32), np.zeros(1), 1.0)
-    langs = sorted(counts)
-    rate = reduce(lambda c, lang: c.when(F.col("lang") == lang, rows_per_lang / counts[lang]), langs, F.when(F.lit(False), 0.0)).otherwise(0.0)
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) < rate * 1_000_003)
-
-    def vector(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat, offsets = packed(batch.column(1))
-        idx, val = [], []
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            count = np.zeros(DIMS)
-            for at in range(a, b, BLOCK_BYTES):
-                count += np.bincount(slots(lowered(flat[at : min(b, at + BLOCK_BYTES)]), DIMS).ravel(), minlength=DIMS)
-            found = np.flatnonzero(count)
-            idx.append(found.astype(np.int32).tobytes())
-            val.append((count[found] / max(1, b - a)).astype(np.float32).tobytes())
-        return pa.record_batch([batch.column(0).cast(pa.string()), batch.column(2), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["key", "lang", "idx", "val"])
-
-    sample = sorted(map_batches(drawn, vector, "key string, lang string, idx binary, val binary").limit(2 * rows_per_lang * len(langs)).collect(), key=lambda r: r["key"])
-    rng = np.random.default_rng(seed)
-    code = codewords(len(langs), rng)
-    y = code[[langs.index(r["lang"]) for r in sample]].astype(np.float64)
-    x = [(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32)) for r in sample]
-    weights, bias, scale = np.zeros((DIMS, code.shape[1])), np.zeros(code.shape[1]), 8.0
-    share = np.array([1.0 / max(1, sum(r["lang"] == lang for r in sample)) for lang in langs])
-    pull = share[[langs.index(r["lang"]) for r in sample]] * len(sample) / len(langs)
-    for epoch in range(12):
-        rate_now = 2.0 / (1 + epoch)
-        for i in rng.permutation(len(sample)):
-            idx, val = x[i]
-            slope = y[i] / (1 + np.exp(np.clip(y[i] * (val @ weights[idx] * scale + bias), -30, 30))) * pull[i] * rate_now
-            weights[idx] += val[:, None] * slope
-            bias += 0.01 * slope
-    return LanguageModel(langs, code, weights.astype(np.float32), bias, scale)
+    known = docs.sparkSession.createDataFrame(limits, "lang string, most bigint")
+    drawn = rows.join(known, "lang").where(draw < F.col("most")).select("lang", "text")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the rows' n-gram frequencies; a vector is given out when the language changes or the batches end."""
+        total: dict[str, np.ndarray] = {}
+        seen: dict[str, int] = {}
+
+        def out() -> pa.RecordBatch:
+            names = sorted(total)
+            made = pa.record_batch([pa.array(names, pa.string()), pa.array([seen[k] for k in names], pa.int64()), pa.array([total[k].tobytes() for k in names], pa.binary())], ["lang", "n", "sums"])
+            total.clear()
+            seen.clear()
+            return made
+
+        for batch in batches:
+            flat, offsets = packed(batch.column(1))
+            for lang, a, b in zip(batch.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
+                if len(total) >= HELD_LANGS and lang not in total:
+                    yield out()
+                count = np.zeros(DIMS)
+                for at in range(a, b, BLOCK_BYTES):
+                    count += np.bincount(slots(lowered(flat[at : min(b, at + BLOCK_BYTES)]), DIMS).ravel(), minlength=DIMS)
+                total[lang] = total.get(lang, 0.0) + count / max(1, b - a)
+                seen[lang] = seen.get(lang, 0) + 1
+        if total:
+            yield out()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One vector for each language, from those of the tasks, sorted by language."""
+        lang, n, total = None, 0, None
+        for batch in batches:
+            for name, k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != lang and lang is not None:
+                    yield one_language(lang, n, total)
+                    n, total = 0, None
+                lang, n = name, n + k
+                total = np.frombuffer(raw, np.float64) + (0.0 if total is None else total)
+        if lang is not None:
+            yield one_language(lang, n, total)
+
+    schema = "lang string, n bigint, sums binary"
+    sums = drawn.mapInArrow(summed, schema).repartition("lang").sortWithinPartitions("lang", F.xxhash64("sums")).mapInArrow(merged, schema)
+    found = sorted(sums.collect(), key=lambda r: r["lang"])
+    langs = [r["lang"] for r in found]
+    means = np.stack([np.frombuffer(r["sums"], np.float64) / r["n"] for r in found])
+    code = codewords(len(langs), np.random.default_rng(seed))
+    spread = means / means.sum(axis=1, keepdims=True) * (1 - SMOOTHING) + SMOOTHING / DIMS
+    ones = code.T == 1  # (bits, languages)
+    sides = [side @ spread / np.maximum(side.sum(axis=1, keepdims=True), 1) + (side.sum(axis=1, keepdims=True) == 0) / DIMS for side in (ones.astype(float), (~ones).astype(float))]
+    weights = np.log(sides[0] / sides[1]).T  # (slots, bits)
+    own = means @ weights  # (languages, bits): the margins of the languages' means
+    middle = [np.where(side, own.T, np.nan) for side in (ones, ~ones)]
+    bias = -np.array([(np.nanmin(a) + np.nanmax(b)) / 2 if s.any() and (~s).any() else 0.0 for a, b, s in zip(*middle, ones, strict=True)])
+    scale = TYPICAL / max(1e-9, float(np.abs(own + bias).mean()))
+    return LanguageModel(langs, code, weights.astype(np.float32), bias * scale, scale)
+
+
+def one_language(lang: str, n: int, total: np.ndarray) -> pa.RecordBatch:
+    """A row of the summed frequencies."""
+    return pa.record_batch([pa.array([lang]), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["lang", "n", "sums"])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", least_lead: float = 0.01) -> DataFrame:
@@ -175,17 +219,23 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 def relabelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that have a language, with all their columns; ``lang_col`` becomes the predicted language.
 
-    Rows that ``identify`` calls ``und`` go.
+    Rows without a letter go. Under a model that has learned no language nothing is known against the others: they stay
+    as they are. Columns are taken by position, so extra columns may repeat or clash.
     """
     at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, _, _ = model.predict(batch.column(at))
-        keep = pa.array([x != UNKNOWN for x in lang], pa.bool_())
-        columns = [pa.array(lang, pa.string()) if k == lang_at else c for k, c in enumerate(batch.columns)]
-        return pa.record_batch(columns, batch.schema.names).filter(keep)
-
-    return map_batches(docs, each, docs.schema)
+        texts = batch.column(at)
+        lang, _, _ = model.predict(texts)
+        if not model.langs:
+            keep, lang = [t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], batch.column(lang_at)
+        else:
+            keep, lang = [x != UNKNOWN for x in lang], pa.array(lang, pa.string())
+        columns = [lang if k == lang_at else c for k, c in enumerate(batch.columns)]
+        return pa.record_batch(columns, [f"c{k}" for k in range(len(columns))]).filter(pa.array(keep, pa.bool_()))
+
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return map_batches(plain, each, plain.schema).toDF(*docs.columns)
 
 
 def learnable(column: str = "doc_id") -> Column:
