@@ -3,9 +3,10 @@
 A fingerprint has eight bytes. Two fingerprints that differ in at most two bits differ in at most two bytes, so they
 share at least six positional bytes. Seen as four two-byte groups, at least two whole groups are among the shared
 ones: the index posts each distinct fingerprint under its six pairs of groups (four positional bytes, 32 bits each).
-Within a posting list the shared positional bytes of each pair are tallied, pairs with six or more are retained, and
-those are verified by their differing bits. Long lists are not paired up: they are split by two further positional
-bytes, after which only 16 bits are free, and neighbours are found by probing the 136 masks of one or two bits.
+Within a posting list pairs are never listed all with all: two further shared positional bytes split it, after which only
+16 bits are free, and partners are looked up under the 136 masks of one or two bits. The shared positional bytes of each
+pair so found are tallied, pairs with six or more are retained, and those are verified by their differing bits. Lists of
+any size go the same way, all those of a batch at once.
 
 Copies meet before any of this: only distinct fingerprints are indexed, each with its smallest id. A posting list
 leaves as a spanning forest of its verified links, so no group turns into all its pairs. Components come from
@@ -32,7 +33,6 @@ BLOCK_WORDS = 1 << 18
 MASKS16 = np.array(sorted({1 << a | 1 << b for a in range(16) for b in range(16)}), np.uint64)
 #: Pairs of the four two-byte groups: the anchors of the index.
 ANCHORS = list(combinations(range(4), 2))
-SMALL_LIST = 256
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -62,44 +62,48 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(marked(docs, row_col, [(id_col, "doc_id"), (text_col, "text")]), each, f"doc_id {id_type(docs, id_col)}, fp bigint, mark bigint")
 
 
-def linked(fps: np.ndarray, anchor: int, bits: int = 2) -> np.ndarray:
-    """A spanning forest, as (n, 2) rows, of the links among distinct fingerprints that share an anchor."""
-    m = len(fps)
-    if m < 2:
+def linked(keys: np.ndarray, fps: np.ndarray, bits: int = 2) -> np.ndarray:
+    """Spanning forests, as (n, 2) rows, of the links within posting lists.
+
+    ``keys`` are sorted, ``fps`` distinct within a key; a key's upper half is the anchor.
+    """
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    size = np.diff(np.append(np.flatnonzero(new), len(keys)))
+    many = np.repeat(size > 1, size)
+    if not many.any():
         return np.zeros((0, 2), np.uint64)
-    pairs = []
-    if m <= SMALL_LIST:
-        i, j = np.triu_indices(m, 1)
-        x = fps[i] ^ fps[j]
-        tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        retained = tally >= 8 - bits
-        i, j, x = i[retained], j[retained], x[retained]
-        good = np.bitwise_count(x) <= bits
-        pairs.append(np.stack([i[good], j[good]], axis=1))
-    else:
-        free = [p for p in range(8) if p // 2 not in ANCHORS[anchor]]
-        for a, b in combinations(free, 2):  # four anchor bytes and these two are the six shared ones
-            rest = [p for p in free if p not in (a, b)]
-            post = (fps >> np.uint64(8 * a) & np.uint64(255)) << np.uint64(8) | fps >> np.uint64(8 * b) & np.uint64(255)
-            low = (fps >> np.uint64(8 * rest[0]) & np.uint64(255)) << np.uint64(8) | fps >> np.uint64(8 * rest[1]) & np.uint64(255)
-            key = post << np.uint64(16) | low
-            order = np.argsort(key)
-            known = key[order]
-            for mask in MASKS16:
-                probe = key ^ mask
-                at = np.minimum(np.searchsorted(known, probe), m - 1)
-                hit = np.flatnonzero((known[at] == probe) & (key < probe))
-                pairs.append(np.stack([hit, order[at[hit]]], axis=1))
-    parent = list(range(m))
+    lists, fps, anchors = np.cumsum(new)[many].astype(np.uint64), fps[many], (keys[many] >> 32).astype(np.int64)
+    free = np.array([[p for p in range(8) if p // 2 not in pair] for pair in ANCHORS])[anchors]  # (rows, 4) byte positions
+    parts = fps[:, None] >> (8 * free).astype(np.uint64) & np.uint64(255)
+    found = []
+    for a, b in combinations(range(4), 2):  # four anchor bytes and these two are the six shared ones
+        c, d = (p for p in range(4) if p not in (a, b))
+        split = lists << np.uint64(32) | parts[:, a] << np.uint64(24) | parts[:, b] << np.uint64(16)
+        order = np.argsort(split, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], split[order][1:] != split[order][:-1]]))
+        size = np.diff(np.append(first, len(order)))
+        rows = order[np.repeat(size > 1, size)]
+        key = split[rows] | parts[rows, c] << np.uint64(8) | parts[rows, d]
+        rows, key = rows[np.argsort(key)], np.sort(key)
+        for mask in MASKS16 if len(rows) else ():
+            probe = key ^ mask
+            at = np.minimum(np.searchsorted(key, probe), len(key) - 1)
+            hit = np.flatnonzero((key[at] == probe) & (key < probe))
+            found.append(np.stack([rows[hit], rows[at[hit]]], axis=1))
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+    differ = fps[pairs[:, 0]] ^ fps[pairs[:, 1]]
+    tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+    pairs = pairs[(tally >= 8 - bits) & (np.bitwise_count(differ) <= bits)]
+    parent: dict[int, int] = {}
 
     def root(v: int) -> int:
-        while parent[v] != v:
+        while parent.setdefault(v, v) != v:
             parent[v] = parent[parent[v]]
             v = parent[v]
         return v
 
     kept = []
-    for i, j in np.concatenate(pairs).tolist():
+    for i, j in pairs.tolist():
         a, b = root(i), root(j)
         if a != b:
             parent[b] = a
@@ -118,27 +122,31 @@ def links(distinct: DataFrame) -> DataFrame:
         return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(fp, len(ANCHORS)))], ["key", "fp"])
 
     def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def out(found: list[np.ndarray]) -> pa.RecordBatch:
-            e = np.concatenate([np.zeros((0, 2), np.uint64), *found]).view(np.int64)
+        """Links within posting lists; the last list of a batch waits for the next batch."""
+        held, waiting = [], None
+
+        def out() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
+            e = linked(rows[:, 0], rows[:, 1].view(np.uint64)).view(np.int64)
             return pa.record_batch([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], ["a", "b"])
 
         for batch in batches:
-            keys, fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(keys):
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            if not len(rows):
                 continue
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            found = []
-            for start, block in zip([0, *cuts.tolist()], np.split(fps.view(np.uint64), cuts), strict=True):
-                if keys[start] != key:
-                    if len(held) > 1 or held and len(held[0]) > 1:
-                        found.append(linked(np.unique(np.concatenate(held)), key >> 32))
-                    key, held = int(keys[start]), []
-                held.append(block.copy())
-            yield out(found)
+            last = rows[-1, 0]
+            if waiting is None or last != waiting:
+                cut = int(np.searchsorted(rows[:, 0], last))
+                held.append(rows[:cut])
+                if sum(map(len, held)):
+                    yield out()
+                held, waiting = [rows[cut:].copy()], last
+            else:
+                held.append(rows.copy())
         if held:
-            yield out([linked(np.unique(np.concatenate(held)), key >> 32)])
+            yield out()
 
     postings = map_batches(distinct.select("fp"), posted, "key bigint, fp bigint")
     return postings.repartition("key").sortWithinPartitions("key").mapInArrow(tallied, "a bigint, b bigint").distinct()
