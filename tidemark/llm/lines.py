@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.sources.shared import drop_path, fresh_path, store
 from tidemark.sources.tables import pick
 
-BATCHES, FAN = 4, 2
+#: Batches at least, the bytes of input (as Spark estimates them) that one takes, and runs of a level that are compacted.
+BATCHES, BATCH_BYTES, FAN = 4, 1 << 38, 2
 #: Frequent keys up to this number (16 bytes each) are broadcast.
 BROADCAST_KEYS = 200_000
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -44,6 +45,12 @@ def hashed(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
+def batches_for(docs: DataFrame) -> int:
+    """How many batches a table takes: by its size, so that no run outgrows ``BATCH_BYTES``; few where it is not known."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return BATCHES if size >= 1 << 60 else max(BATCHES, -(-size // BATCH_BYTES))
+
+
 class LineRuns:
     """The runs of one job, in the shared folder."""
 
@@ -99,7 +106,7 @@ class LineRuns:
         self.tables.clear()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_points: int = 1, batches: int = BATCHES) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_points: int = 1, batches: int | None = None) -> DataFrame:
     """Drop lines whose key is found in at least ``min_docs`` documents, in every document.
 
     Returns one row per input row: ``doc_id, n_lines, n_dropped, kept_text``. Keys shorter than ``min_points`` code
@@ -107,7 +114,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is null or repeats; a key counts once per document. An empty table gives an empty result; other columns are
     ignored.
     """
-    spark = docs.sparkSession
+    spark, batches = docs.sparkSession, batches or batches_for(docs)
     rows = pick(docs, [(id_col, "doc_id"), (text_col, "text")]).withColumn("text", F.coalesce("text", F.lit("")))
     lines = F.split("text", "\n")
     # Distinct as strings: Spark hashes those within a row, but compares structs pair by pair. Arrays are made in a step
