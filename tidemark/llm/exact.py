@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.texts import SPACE_BYTES, id_type, marked, utf8
 from tidemark.sources.shared import store
@@ -126,7 +127,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = id_type(docs, id_col)
     rows = marked(docs, row_col, [(id_col, "doc_id"), (text_col, "text")])
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_arrow = to_arrow_type(next(f.dataType for f in docs.schema.fields if f.name == id_col))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 40

@@ -125,7 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark, kind = docs.sparkSession, id_type(docs, id_col)
     units = marked(docs, row_col, [(id_col, "doc_id"), (text_col, "text"), (source_col, "source")])
-    units = units.select("doc_id", "source", word_count(F.col("text")).alias("size"), "mark")
+    units = units.select("doc_id", "source", word_count(F.col("text")).alias("size"), "mark", F.monotonically_increasing_id().alias("unit"))
     units = store(units, "mix-units")
     totals = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -136,7 +136,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     planned = spark.createDataFrame(plan, "source string, source_no int, source_size bigint, target double, rate double, blocks int")
     # One row per source, at most MAX_SOURCES of them.
     known = units.join(F.broadcast(planned) if len(plan) <= 10_000 else planned, units["source"].eqNullSafe(planned["source"])).drop("source")
-    known = known.withColumn("draw", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
+    # Rows without an id have no draw of their own but by their place; they would all share a block.
+    known = known.withColumn("draw", F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.col("unit"), F.col("size"))).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))))
     known = known.withColumn("block", F.pmod(F.col("draw"), F.col("blocks")))
     known = known.withColumn("whole", F.floor("rate")).withColumn("prob", F.col("rate") - F.floor("rate"))
 
