@@ -22,44 +22,71 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ROW = "pipeline_row"
 
 
+def at(docs: DataFrame, name: str) -> str:
+    """The name in ``keyed`` of the first column with exactly this name."""
+    return f"c{docs.columns.index(name)}"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key for every row, written once so that all reads of a stage see the same keys."""
-    return store(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    """The columns of ``docs`` by position, ``c0`` and so on, with a key for every row.
 
+    Written once, so that all reads of a stage see the same keys. Names that repeat or differ in case only cannot clash.
+    """
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return store(plain.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
 
-def only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of a keyed table whose key is in ``kept``, without the key."""
-    return rows.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
+
+def only(rows: DataFrame, kept: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of a keyed table whose key is in ``kept``, under their own names."""
+    return rows.join(kept.select(ROW), ROW, "left_semi").drop(ROW).toDF(*names)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is ``und`` (no letter at all) go; the others carry the predicted language."""
-    model = language.train(docs, where=language.learnable())
-    return language.relabelled(docs, model)
+    """Documents whose language is ``und`` (no letter at all, null and empty texts too) go; the others carry the predicted language.
+
+    Repeated rows have one fate. Where no language can be learned, texts with letters stay and keep their label. An
+    empty table stays empty; extra columns stay, whatever their names.
+    """
+    return language.relabelled(docs, language.train(docs, where=language.learnable()))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original stays."""
+    """Of equal texts (null and empty ones are equal) one row stays: the longest original, then the smallest id, a null id last.
+
+    Of rows that repeat in all of that one stays. Rows are told apart by a key, so ids may repeat. An empty table stays
+    empty; extra columns stay, whatever their names.
+    """
     rows = keyed(docs)
-    return only(rows, exact.exact_dedup(rows, row_col=ROW).where("kept"))
+    found = exact.exact_dedup(rows, id_col=at(docs, "doc_id"), text_col=at(docs, "text"), row_col=ROW)
+    return only(rows, found.where("kept"), docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates one row with the smallest id stays."""
+    """Of each component of near-duplicates one row with the smallest id stays; a component of null ids keeps one row.
+
+    Texts without words (null and empty too) are one component with what lies near fingerprint zero. Rows are told apart
+    by a key, so ids may repeat. An empty table stays empty; extra columns stay, whatever their names.
+    """
     rows = keyed(docs)
-    return only(rows, simhash.kept_rows(rows, ROW))
+    return only(rows, simhash.kept_rows(rows, ROW, id_col=at(docs, "doc_id"), text_col=at(docs, "text")), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: not at all, once or twice."""
+    """Each row as often as the mix takes it: not at all, once or twice.
+
+    Every row is a unit of its own, also when its id is null or repeats; a null source is a source, the last. Rows
+    without words, null texts too, are taken like the others of their source but count for nothing. An empty table stays
+    empty; extra columns stay, whatever their names.
+    """
     rows = keyed(docs)
-    times = mixing.mix(rows, row_col=ROW).select(ROW, F.col("times").cast("int").alias("times")).where("times > 0")
-    taken = rows.join(times, ROW)
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    times = mixing.mix(rows, id_col=at(docs, "doc_id"), text_col=at(docs, "text"), source_col=at(docs, "source"), row_col=ROW)
+    times = times.select(ROW, F.col("times").cast("int").alias("times")).where("times > 0")
+    taken = rows.join(times, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return taken.drop(ROW, "times", "copy").toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
+    """Token counts and digests of the encoded and decoded texts, one row for each row; null texts are empty."""
     return bpe.bpe_digest(docs)
 
 
