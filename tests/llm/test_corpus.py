@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -112,23 +113,28 @@ def test_simhash_against_brute_force(docs, edge, nothing):
     assert simhash.simhash_components(nothing).count() == 0
 
 
-def test_simhash_long_posting_lists():
+def test_simhash_posting_lists_of_any_size():
     rng = np.random.default_rng(3)
-    for anchor in range(6):
+    keys, prints, want = [], [], []
+    for k, (anchor, n, spread) in enumerate([(a, n, s) for a in range(6) for n, s in ((1, 9), (2, 2), (6, 2), (300, 40), (900, 64))]):
         free = [p for p in range(4) if p not in simhash.ANCHORS[anchor]]
-        fps = np.unique(sum((rng.integers(0, 64, 900).astype(np.uint64) << np.uint64(16 * g) for g in free), np.zeros(900, np.uint64)))
-        assert len(fps) > simhash.SMALL_LIST
-        forest = simhash.linked(fps, anchor)
-        parent = {int(x): int(x) for x in fps}
-
-        def root(x, parent=parent):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in forest.tolist():
-            assert (a ^ b).bit_count() <= 2 and root(a) != root(b)
-            parent[root(a)] = root(b)
+        fps = np.unique(sum((rng.integers(0, spread, n).astype(np.uint64) << np.uint64(16 * g) for g in free), np.zeros(n, np.uint64)))
+        keys.append(np.full(len(fps), (anchor << 32) + k))
+        prints.append(fps)
+        want.append(fps)
+    order = np.argsort(np.concatenate(keys), kind="stable")
+    forest = simhash.linked(np.concatenate(keys)[order], np.concatenate(prints)[order])
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in forest.tolist():
+        assert (a ^ b).bit_count() <= 2
+        parent[root(a)] = root(b)
+    for fps in want:
         for i, x in enumerate(fps):
             for y in fps[:i][np.bitwise_count(fps[:i] ^ x) <= 2]:
                 assert root(int(x)) == root(int(y))
@@ -266,15 +272,83 @@ def test_passages(spark, nothing, edge):
     rows = [(1, prose(200) + shared + prose(90)), (2, prose(30) + [w.upper() for w in shared] + prose(300)), (3, prose(400)), (4, near + prose(100)), (5, prose(80) + changed), (6, prose(49)), (7, shared[:49] + prose(200))]
     rows += [(8, rows[0][1])]
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows] + [(None, " ".join(shared)), (9, None), (10, "")], SCHEMA)
-    got = {r["doc_id"]: r for r in substrings.repeated_passages(df).collect()}
-    assert set(got) == {1, 2, 4, 5, 8}
+    rows = substrings.repeated_passages(df).collect()
+    assert len(rows) == df.count()
+    got = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    assert {k for k, r in got.items() if r["spans"]} == {1, 2, 4, 5, 8}
     assert got[2]["class_id"] == got[8]["class_id"] == 1 and got[5]["class_id"] == 4
+    assert all(r["class_id"] == k and r["n_repeated"] == 0 for k, r in got.items() if not r["spans"])
     (span,) = got[2]["spans"]
     assert span["start"] <= 30 and span["end"] >= 90 and got[2]["n_repeated"] <= 70
     (span,) = got[5]["spans"]
     assert span["start"] <= 80 and span["end"] >= 200
+    (nobody,) = [r for r in rows if r["doc_id"] is None]  # a row without an id shares a passage like any other
+    assert nobody["class_id"] == 1 and nobody["spans"]
     assert substrings.repeated_passages(nothing).count() == 0
-    assert {r["doc_id"] for r in substrings.repeated_passages(edge).collect()} == {6, 7}
+    marked = substrings.repeated_passages(edge).collect()
+    assert len(marked) == len(EDGE) and {r["doc_id"] for r in marked if r["spans"]} == {6, 7}
+
+
+def exact_runs(rows, least=50):
+    """For each row the words that lie in runs of ``least`` equal words found in a row of another text, and those pairs of rows."""
+    split = [words(t) for _, t in rows]
+    places = defaultdict(list)
+    for k, w in enumerate(split):
+        for i in range(len(w) - least + 1):
+            places[tuple(w[i : i + least])].append((k, i))
+    held, pairs = defaultdict(set), set()
+    for found in places.values():
+        owners = sorted({k for k, _ in found})
+        if len({rows[k][1] for k in owners}) > 1:
+            pairs |= set(zip(owners, owners[1:], strict=False))
+            for k, i in found:
+                held[k] |= set(range(i, i + least))
+    return held, pairs
+
+
+def test_passages_against_all_runs_of_50_words(spark, docs):
+    """No run of 50 equal words and no link by one is lost: test table, frequent lines, quotes that overlap in part."""
+    rng = random.Random(4)
+    vocabulary = [f"v{k}" for k in range(300)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    hot, line, source = text(58), text(20), text(400)
+    made = [(10**6 + k, " ".join(text(rng.randrange(5, 70)) + hot + text(rng.randrange(5, 70)))) for k in range(120)]
+    made += [(2 * 10**6 + k, " ".join(text(40) + line + text(30) + line + text(40))) for k in range(120)]
+    made += [(3 * 10**6 + k, " ".join(text(30) + source[at : at + rng.randrange(50, 90)] + text(30))) for k, at in enumerate(range(0, 320, 7))]
+    made += [(4 * 10**6 + k, " ".join(line * rng.randrange(3, 40))) for k in range(10)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] + made
+    got = substrings.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows) == len(by)
+    held, pairs = exact_runs(rows)
+    for k, wanted in held.items():
+        assert wanted <= {i for s in by[rows[k][0]]["spans"] for i in range(s["start"], s["end"])}
+    for a, b in pairs:
+        assert by[rows[a][0]]["class_id"] == by[rows[b][0]]["class_id"]
+    alone = {d for d, _ in made[120:240]}
+    assert not any(by[d]["spans"] for d in alone)  # a frequent line of 20 words makes no passage
+
+
+def test_near_passages_in_frequent_company(spark):
+    """Pairs of passages of similarity 0.8 to 0.9 within texts that all share a frequent line: nine in ten are found."""
+    rng = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(400)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    line, rows, pairs = text(12), [], []
+    for k in range(200):
+        n = rng.randrange(50, 120)
+        one = text(n)
+        one[20:32] = line  # inside the passage itself
+        other = list(one)
+        for at in rng.sample(range(4, n - 4), max(1, n // 60)):
+            other[at] = f"x{at}"
+        sets = [{tuple(w[i : i + 5]) for i in range(n - 4)} for w in (one, other)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            pairs.append((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(text(40) + one + text(30))), (2 * k + 1, " ".join(text(25) + other + text(50)))]
+    by = {r["doc_id"]: r for r in substrings.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = [by[a]["class_id"] == by[b]["class_id"] and by[a]["n_repeated"] >= 45 for a, b in pairs]
+    assert len(pairs) > 100 and sum(found) >= 0.9 * len(pairs)
 
 
 def test_stretches_of_changed_words_against_brute_force():
@@ -330,16 +404,70 @@ def test_language(spark, docs, edge, nothing):
     assert {r["lang_pred"] for r in language.identify(edge, empty).collect()} == {"und"}
 
 
+def test_language_margins_and_decoding_by_hand(docs):
+    """Margins gram by gram, and the codeword of least logistic loss by loops."""
+    model = language.train(docs, where=language.learnable())
+    for r in docs.limit(8).collect():
+        data = (r["text"] or "").encode().translate(LOWER)
+        if not data:
+            continue
+        filed = language.slots(np.frombuffer(data + b"   ", np.uint8), language.DIMS)[:, : len(data)]
+        total = sum(model.weights[filed[k][i]].astype(float) for k in range(4) for i in range(len(data)))
+        z = total / len(data) * model.scale + model.bias
+        loss = [sum(math.log1p(math.exp(-float(m) * int(c))) for m, c in zip(z, code, strict=True)) for code in model.code]
+        lang, score, _ = model.predict(pa.array([r["text"]]))
+        assert lang[0] == model.langs[int(np.argmin(loss))]
+        assert score[0] == pytest.approx(1 / sum(math.exp(min(loss) - x) for x in loss), abs=1e-3)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"{'abcdefghijklmnopqrstuvwxyz'[k % 26] * 3}{'qz'[k % 52 // 26]} " * 20, f"l{k % 52:02d}") for k in range(520)]
+    df = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    model = language.train(df)
+    assert len(model.langs) == 52
+    got = language.identify(df, model).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] % 52:02d}" for r in got) >= 0.95 * len(rows)
+
+
 def test_language_of_many_codes():
     code = language.codewords(12, np.random.default_rng(0))
     assert len({tuple(c) for c in code.tolist()}) == 12 and language.codewords(4, np.random.default_rng(0)).shape == (4, 7)
 
 
+def naive_quality(net, data):
+    """The network by loops: every filter at every second place of every chunk, positions past the end silent."""
+    step, pools = quality.CHUNK - quality.OVERLAP, []
+    starts = [0]
+    while starts[-1] + quality.CHUNK < len(data):
+        starts.append(starts[-1] + step)
+    for start in starts:
+        chunk = data[start : start + quality.CHUNK]
+        best = np.full(quality.FILTERS, -np.inf)
+        for at in range(0, quality.STRIDE * quality.POSITIONS, quality.STRIDE):
+            codes = [chunk[at + j] if at + j < len(chunk) else quality.PAD for j in range(quality.WIDTH)]
+            best = np.maximum(best, sum(net.table[j][c] for j, c in enumerate(codes)))
+        pools.append(np.maximum(best + net.bias, 0))
+    z = np.mean(pools, axis=0) @ net.mean_w + np.max(pools, axis=0) @ net.max_w + net.out_bias
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_of_rows_that_were_not_learned_from(spark):
+    """Area under the curve over the held-out rows of the middle data set; the smallest has twenty of them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    net = quality.train(docs, labels, where=~quality.held_out())
+    rows = quality.score(docs, net).join(labels, "doc_id").where(quality.held_out()).collect()
+    bad, good = ([r["score"] for r in rows if r["quality"] == v] for v in (0, 1))
+    assert len(rows) > 60 and np.mean([a < b for a in bad for b in good]) >= 0.9
+
+
 def test_quality(spark, docs, edge, nothing, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = quality.train(docs, labels, where=~quality.held_out())
     rows = quality.score(docs, net).join(labels, "doc_id").collect()
     assert np.mean([(r["score"] >= 0.3) == r["quality"] for r in rows]) >= 0.85
+    by = {r["doc_id"]: r["score"] for r in quality.score(docs, net).collect()}
+    for r in sorted(docs.collect(), key=lambda r: len(r["text"] or ""))[::25]:
+        assert by[r["doc_id"]] == pytest.approx(naive_quality(net, (r["text"] or "").encode()), abs=1e-4)
     got = quality.score(edge, net).collect()
     assert len(got) == len(EDGE) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
     assert len({r["score"] for r in got if r["doc_id"] in (6, 7)}) == 1

@@ -51,3 +51,24 @@ def test_stages_decide_by_row(spark, sf_dir):
     targets = mixing.source_targets([r["n"] for r in wanted], [5.0, 2.0], 1.5, 2.0)
     found = {r["source"]: r["n"] for r in out}
     assert all(abs(found[r["source"]] - t) <= 50 for r, t in zip(wanted, targets, strict=True))
+
+
+def test_stages_with_clashing_columns(spark, sf_dir):
+    """Extra columns whose names repeat or differ in case only, null values everywhere, and an empty table."""
+    rows = [(k if k % 4 else None, f"the text number {k % 9} of some words" if k % 5 else None, "en" if k % 3 else None, "ab"[k % 2], k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wide = docs.selectExpr("*", "1 AS DOC_ID", "2 AS TEXT", "3 AS times", "4 AS id", "5 AS Lang", "6 AS `a.b`", "7 AS copy", "8 AS Source")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf_dir)
+        assert out.columns == wide.columns
+        got = sorted((tuple(r)[:5] for r in out.collect()), key=str)
+        assert got == sorted((tuple(r) for r in stage(spark, docs, sf_dir).collect()), key=str), name
+        assert all(tuple(r)[5:] == (1, 2, 3, 4, 5, 6, 7, 8) for r in out.collect())
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, wide, sf_dir)
+    assert last.count() == len(rows)
+
+
+def test_language_stage_without_labels(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "12 !", None, "s", 1), (3, None, None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, sf_dir).collect()] == [1]
