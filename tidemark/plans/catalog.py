@@ -659,4 +659,4 @@ def privacy_accountant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.spent_budget(releases, 5000).select("tenant", "event_id", "spent", "within")
 
 
-from tidemark.plans import agentic, chunked, evidence, guards, policies  # noqa: E402, F401  their queries join the register
+from tidemark.plans import agentic, calibration, chunked, evidence, guards, policies, search  # noqa: E402, F401  their queries join the register
