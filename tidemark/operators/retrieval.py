@@ -6,7 +6,7 @@ document id as its tie-break.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,10 @@ def top(df: DataFrame, score: Column, n: int, by: str = "query_id", tie: str = "
     return best.withColumn("rank", F.col("rank").cast("bigint"))  # after the filter, which limits groups before the shuffle
 
 
+#: Rows of query postings that are broadcast at most; more are joined by their terms.
+MOST_POSTINGS = 2_000_000
+
+
 def terms(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``key, term, tf, length``: one row per term of a text."""
     # In two steps, so that the length is read off the column and the pattern does not run again for every term.
@@ -32,11 +36,21 @@ def terms(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     return exploded.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def sent_out(postings: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What broadcasts a table of at most a row for each posting, where the postings of queries were counted to be few."""
+    few = postings.limit(MOST_POSTINGS + 1).count() <= MOST_POSTINGS
+    return F.broadcast if few else lambda df: df
+
+
 def jaccard_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, doc_id, shared, similarity`` by word-set Jaccard, for all that share a word."""
-    d = terms(docs, "doc_id").select("doc_id", "term", F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("d_size"))
-    q = terms(queries, "query_id").select("query_id", "term", F.count(F.lit(1)).over(Window.partitionBy("query_id")).alias("q_size"))
-    hits = d.join(q, "term").groupBy("query_id", "doc_id", "q_size", "d_size").agg(F.count(F.lit(1)).alias("shared"))
+    """``query_id, doc_id, shared, similarity`` by word-set Jaccard, for all that share a word.
+
+    A document's words are dealt by its id once; they meet the queries' words and are counted where they are, so pairs
+    of query and document do not travel.
+    """
+    d = docs.select("doc_id", T.words(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("d_size"), F.explode("words").alias("term")).repartition("doc_id")
+    q = queries.select("query_id", T.words(F.col("text")).alias("words")).select("query_id", F.size("words").alias("q_size"), F.explode("words").alias("term"))
+    hits = d.join(sent_out(q)(q), "term").groupBy("query_id", "doc_id", "q_size", "d_size").agg(F.count(F.lit(1)).alias("shared"))
     return hits.select("query_id", "doc_id", "shared", (F.col("shared") / (F.col("q_size") + F.col("d_size") - F.col("shared"))).alias("similarity"))
 
 
@@ -73,13 +87,15 @@ def bm25(docs: DataFrame, queries: DataFrame, n: int = 5, k1: float = 1.2, b: fl
     A query term counts as often as the query repeats it. Weights are summed as whole billionths, so the sums do not
     depend on the order of rows and aggregate on the map side.
     """
-    d = terms(docs, "doc_id")
+    listed = docs.select("doc_id", T.find_all(F.lower("text"), T.WORD).alias("tokens")).select("doc_id", F.size("tokens").alias("length"), "tokens")
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(T.find_all(F.lower("text"), T.WORD))).alias("mean_length"))
     q = terms(queries, "query_id").select("query_id", "term", F.col("tf").alias("q_tf"))
-    # Only terms that a query has are counted further.
-    used = d.join(q.select("term").distinct(), "term", "left_semi")
+    out = sent_out(q)
+    # Only terms that a query has are dealt and counted further; a document's terms stay together from there on.
+    used = listed.select("doc_id", "length", F.explode("tokens").alias("term")).join(out(q.select("term").distinct()), "term", "left_semi")
+    used = used.repartition("doc_id").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = used.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    rows = used.join(out(q.join(df, "term")), "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("q_tf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     scored = rows.groupBy("query_id", "doc_id").agg((F.sum(F.round(weight * 1e9).cast("bigint")) / 1e9).alias("score"))
