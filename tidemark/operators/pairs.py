@@ -27,14 +27,15 @@ def with_sets(df: DataFrame) -> DataFrame:
     return df.withColumns(made)
 
 
-def lite_divergence(df: DataFrame) -> DataFrame:
+def lite_divergence(df: DataFrame, in_bytes: bool = False) -> DataFrame:
     """``divergence``: 1 - (0.4 word Jaccard + 0.2 length ratio + 0.2 entity overlap + 0.2 (1 - 0.3 negation asymmetry)).
 
-    0.5 if a side is empty or has no word. Entity overlap is 0.5 if neither side has entities, 0 if one has.
+    0.5 if a side is empty or has no word. Entity overlap is 0.5 if neither side has entities, 0 if one has. Lengths are
+    characters, or bytes of UTF-8 with ``in_bytes``.
     """
     df = with_sets(df)
     pw, hw, pe, he = (F.col(c) for c in ("p_words", "h_words", "p_ents", "h_ents"))
-    lp, lh = F.char_length("premise"), F.char_length("hypothesis")
+    lp, lh = (F.octet_length(c) if in_bytes else F.char_length(c) for c in ("premise", "hypothesis"))
     ents = F.when((F.size(pe) > 0) & (F.size(he) > 0), T.shared(pe, he) / T.union_size(pe, he)).when((F.size(pe) > 0) | (F.size(he) > 0), 0.0).otherwise(0.5)
     asym = F.when(T.has_any(pw, NEGATION) != T.has_any(hw, NEGATION), 0.3).otherwise(0.0)
     alike = 0.4 * (T.shared(pw, hw) / T.union_size(pw, hw)) + 0.2 * (F.least(lp, lh) / F.greatest(lp, lh)) + 0.2 * ents + 0.2 * (1 - asym)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.sources.shared import fresh_path
+
 
 def windowed_rates(events: DataFrame, late: str = "10 minutes", width: str = "1 day") -> DataFrame:
     """Events and errors by event-time window and type; rows later than ``late`` are past their window."""
@@ -35,3 +37,28 @@ def live_halts(tokens: DataFrame, hard: int = 200) -> DataFrame:
         yield pd.DataFrame({"session": [key[0]], "n_emitted": [emitted], "halted": [bool(halted)]})
 
     return tokens.groupBy("session").applyInPandasWithState(run, "session bigint, n_emitted bigint, halted boolean", "n_emitted bigint, halted boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_files(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what its source holds now, and read back the rows that it put out.
+
+    Each micro-batch is written under its number, over what an earlier try of the same batch left, so a batch that is
+    repeated after a loss counts once. State and progress live in the shared folder.
+    """
+    spark = stream.sparkSession
+    root = fresh_path(spark, tag)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows/batch=*")
+
+
+def reviewed(pairs_stream: DataFrame, review: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+    """A review queue: every micro-batch of pairs is scored in one pass, whatever tenants are in it.
+
+    ``review`` takes and returns rows of a batch; with a processing-time trigger on the stream it would run as often.
+    """
+    return run_to_files(review(pairs_stream), tag)
