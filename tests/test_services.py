@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import calibration, chunks, documents, logic, policies, retrieval, search, sequential, service, streams, verification
+from tidemark.operators import calibration, chunks, documents, graphs, guards, logic, policies, prefix, provenance, records, retrieval, search, sequential, service, streams, verification
 from tidemark.sources import formats, shared
 
 
@@ -147,6 +147,84 @@ def test_smoothed_scores(spark):
         assert 0 < alpha <= 1
 
 
+def test_forecasts(spark):
+    rows = [(t, i, i * 1000, (i * 53 + t) % 97) for t in range(2) for i in range(40)]
+    df = spark.createDataFrame(rows, "tenant long, event_id long, micros long, points long").repartition(3)
+    got = {(r["tenant"], r["event_id"]): (r["forecast"], r["width"]) for r in sequential.forecasts(df, window=10).collect()}
+    for t in range(2):
+        level, residuals = None, []
+        for i in range(40):
+            x = (i * 53 + t) % 97
+            if level is not None:
+                last = sorted(residuals[-10:])
+                assert got[t, i][0] == pytest.approx(level)
+                assert got[t, i][1] == (pytest.approx(last[min(len(last) - 1, max(0, int(0.9 * (len(last) + 1) - 1)))]) if last else None)
+                residuals.append(abs(x - level))
+            level = x if level is None else 0.4 * x + 0.6 * level
+
+
+def test_behaviour_records_and_cadence(spark):
+    rng = random.Random(11)
+    rows = [(t, i, i, rng.choice((10, 11, 12, 500 if i > 20 else 12))) for t in range(2) for i in range(80)] + [(5, i, i, 700 if i < 30 else 300) for i in range(40)]
+    df = spark.createDataFrame(rows, "tenant long, event_id long, micros long, points long").repartition(4)
+    got = {(r["tenant"], r["event_id"]): (r["z"], r["anomaly"]) for r in records.behaviour_records(df).collect()}
+    paced = {(r["tenant"], r["event_id"]): (r["scored"], r["in_force"]) for r in records.adaptive_cadence(df).collect()}
+    for t in (0, 1, 5):
+        series, kept = [p for k, _, _, p in rows if k == t], []
+        for i, v in enumerate(series):
+            mean = sum(kept) / len(kept) if kept else 0
+            spread = sum((x - mean) ** 2 for x in kept) / len(kept) if kept else 0
+            z = (v - mean) / math.sqrt(spread) if len(kept) >= 16 and spread > 1e-12 else 0.0
+            assert got[t, i] == (pytest.approx(z), abs(z) > 3)
+            if abs(z) <= 3:
+                kept.append(v)
+    assert any(a for _, a in got.values())
+    # The cadence grows by one with each score: 2 after token 0, 3 after 2, 4 after 3, 5 after 4, 6 after 5, 7 after 6, 8 after 7.
+    assert [i for i in range(30) if paced[5, i][0]] == [0, 2, 3, 4, 5, 6, 7, 8, 16, 24] and paced[5, 29][1] == 700
+    assert paced[5, 32] == (True, 300) and paced[5, 39][1] == 300
+
+
+def test_embed_and_learned_guard(spark, sf_dir):
+    rows = [(1, "a b c", "a b c"), (2, "a b", ""), (3, "x y", "p q r s")]
+    got = {r["pair_id"]: r["embed_score"] for r in records.embed_scores(spark.createDataFrame(rows, "pair_id int, premise string, hypothesis string")).collect()}
+    assert got[1] == pytest.approx(1) and got[2] == 0.0 and 0 <= got[3] < 1
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    both = docs.join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", F.col("quality").alias("label"))
+    held = F.crc32(F.col("key").cast("string")) % 5 == 0
+    weights, bias = records.learned_guard(both.where(~held))
+    scored = guards.hash_bag(both.where(held), records.SLOTS).select("label", records.guard_score(F.col("bag"), weights, bias).alias("s")).collect()
+    bad, good = ([r["s"] for r in scored if r["label"] == v] for v in (0, 1))
+    assert sum(a < b for a in bad for b in good) >= 0.7 * len(bad) * len(good) > 0
+
+
+def test_running_values_in_spans(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), i, rng.randrange(0, 5000), rng.randrange(-9, 9)) for i in range(300)] + [(None, 999, 7, 1)]
+    df = spark.createDataFrame(rows, "k string, id long, at long, v long").repartition(5)
+    sums = {(r["k"], r["id"]): r["s"] for r in prefix.running_sums(df, "k", "id", {"s": F.col("v")}, 17).collect()}
+    lags = {(r["k"], r["id"]): r["p"] for r in prefix.lagged(df, "k", "at", "id", "v", "p", 100).collect()}
+    assert len(sums) == len(lags) == len(rows)
+    for k in ("a", "b", None):
+        own = [r for r in rows if r[0] == k]
+        total = 0
+        for r in own:
+            total += r[3]
+            assert sums[k, r[1]] == total
+        before = None
+        for r in sorted(own, key=lambda r: (r[2], r[1])):
+            assert lags[k, r[1]] == before
+            before = r[3]
+    assert graphs.interactions(spark.createDataFrame([("t", 5, 1, 7), ("t", 10**10, 2, 8), ("t", 10**11, 3, 8)], "event_type string, micros long, event_id long, user_id long")).collect() == [(7, 8, 1)]
+
+
+def test_merkle_proofs(spark):
+    rows = [(g, i, f"{g}-{i}") for g in (1, 2, 3, 6, 7) for i in range(g)]
+    df = spark.createDataFrame(rows, "g int, i int, leaf string")
+    roots = {r["g"]: r["root"] for r in provenance.merkle_roots(df, "g", "i", "leaf").collect()}
+    proofs = provenance.merkle_proofs(df, "g", "i", "leaf").withColumn("end", provenance.proven_root(F.col("leaf"), F.col("path"))).collect()
+    assert len(proofs) == len(rows) and all(r["end"] == roots[r["g"]] for r in proofs)
+
+
 def test_formulas_against_all_assignments(spark):
     rng = random.Random(5)
     rows = [(k, [[rng.choice((1, -1)) * rng.randrange(1, 6) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(0, 14))]) for k in range(200)] + [(900, [[]]), (901, None)]

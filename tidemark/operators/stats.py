@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import running_sums
+
 WEEK = 7 * 86400 * 1_000_000
 
 
@@ -83,19 +85,23 @@ def threshold_sweep(scored: DataFrame, low: int = 50, high: int = 950, step: int
     return scored_grid.withColumn("best", rank == 1)
 
 
-def conformal_threshold(scored: DataFrame, coverage: float = 0.9) -> DataFrame:
-    """The order statistic int(coverage (n + 1) - 1) of ``nonconformity``, found from counts by value."""
+def conformal_threshold(scored: DataFrame, coverage: float = 0.9, ceiling: bool = False) -> DataFrame:
+    """The order statistic int(coverage (n + 1) - 1) of ``nonconformity``, or ceil(coverage (n + 1)) - 1, found from counts by value."""
     counts = scored.groupBy("nonconformity").agg(F.count(F.lit(1)).alias("n"))
     running = counts.withColumns({"upto": F.sum("n").over(Window.orderBy("nonconformity")), "total": F.sum("n").over(Window.partitionBy())})
-    index = F.least(F.greatest(F.floor(F.lit(coverage) * (F.col("total") + 1) - 1), F.lit(0)), F.col("total") - 1)
+    place = F.round(F.lit(coverage) * (F.col("total") + 1), 9)
+    index = F.least(F.greatest((F.ceil(place) if ceiling else F.floor(place)) - 1, F.lit(0)), F.col("total") - 1)
     return running.where(F.col("upto") > index).agg(F.min("nonconformity").alias("threshold"), F.max("total").alias("calibration_size"))
 
 
-def page_hinkley(decisions: DataFrame, reference: int, slack: int, key: str = "tenant") -> DataFrame:
-    """Two-sided Page-Hinkley statistic per key over integer scores ``points`` in the order of ``event_id``."""
-    w = Window.partitionBy(key).orderBy("event_id")
-    d = decisions.withColumns({"up": F.sum(F.col("points") - reference - slack).over(w), "down": F.sum(reference - F.col("points") - slack).over(w), "nth": F.row_number().over(w)})
-    d = d.groupBy(key).agg(F.max_by("up", "nth").alias("up"), F.min("up").alias("min_up"), F.max_by("down", "nth").alias("down"), F.min("down").alias("min_down"), F.count(F.lit(1)).alias("n"))
+def page_hinkley(decisions: DataFrame, reference: int, slack: int, key: str = "tenant", width: int = 1 << 20) -> DataFrame:
+    """Two-sided Page-Hinkley statistic per key over integer scores ``points`` in the order of ``event_id``.
+
+    Running sums are made in spans of ``width`` ids, so a key may have any number of decisions.
+    """
+    points = F.col("points")
+    d = running_sums(decisions.select(key, "event_id", "points"), key, "event_id", {"up": points - reference - slack, "down": reference - points - slack}, width)
+    d = d.groupBy(key).agg(F.max_by("up", "event_id").alias("up"), F.min("up").alias("min_up"), F.max_by("down", "event_id").alias("down"), F.min("down").alias("min_down"), F.count(F.lit(1)).alias("n"))
     return d.select(key, "n", F.greatest(F.col("up") - F.least(F.col("min_up"), F.lit(0)), F.col("down") - F.least(F.col("min_down"), F.lit(0))).alias("statistic"))
 
 

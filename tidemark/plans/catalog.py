@@ -505,6 +505,13 @@ def smoothed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.smoothed(decisions(spark, sf_dir).withColumn("tenant", F.col("user_id"))).select("tenant", "event_id", *r6("level"))
 
 
+@query()
+def demand_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of each user's next score and the width of their interval; averages feed back."""
+    found = sequential.forecasts(decisions(spark, sf_dir).withColumn("tenant", F.col("user_id")))
+    return found.select("tenant", "event_id", *r6("forecast", "width"))
+
+
 SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({}, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: len(list_filter(string_split_regex(s, '[ \t\n\r\f]+'), lambda w: w <> '')) >= 3)"
 VERDICT_SQL = SQL["claim_verdict"]
 
@@ -660,4 +667,4 @@ def privacy_accountant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from tidemark.plans import agentic, calibration, chunked, evidence, guards, policies, search  # noqa: E402, F401  their queries join the register
-from tidemark.plans import service  # noqa: E402, F401, I001  after those whose SQL it quotes
+from tidemark.plans import records, service  # noqa: E402, F401, I001  after those whose SQL they quote
