@@ -54,13 +54,13 @@ def disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.disagreements(c)
 
 
-@query(best_sql("dataset"))
+@query(best_sql("dataset"), longs="pos neg tp tn")
 def dataset_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best threshold of each data set."""
     return best(spark, sf_dir, "dataset")
 
 
-@query(best_sql("task"))
+@query(best_sql("task"), longs="pos neg tp tn")
 def task_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best threshold of each task type."""
     return best(spark, sf_dir, "task")

@@ -44,12 +44,12 @@ def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SETS}, l AS (SELECT pair_id, conv_id, turn + 1 AS turn, {LOGICAL} AS h FROM content), c AS ({SQL["cross_turn_divergence"]})
-    SELECT pair_id, round(h, 6) AS h_logical, round(divergence, 5) AS cross_turn, round(coalesce(0.7 * round(h, 6) + 0.3 * divergence, h), 5) AS blended FROM l LEFT JOIN c USING (conv_id, turn)""")
+    SELECT pair_id, round(h, 6) AS h_logical, round(divergence, 5) AS cross_turn, floor(coalesce(0.7 * round(h, 6) + 0.3 * divergence, round(h, 6)) * 1e5 + 0.5001) / 1e5 AS blended FROM l LEFT JOIN c USING (conv_id, turn)""")
 def blended_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical divergence of each pair, mixed with that from earlier turns."""
     found = records.blended_logic(views.pairs(spark, sf_dir), table(spark, sf_dir, "conversations"))
     six = [F.round(c, 6) for c in ("h_logical", "cross")]
-    return found.select("pair_id", six[0].alias("h_logical"), F.round(six[1], 5).alias("cross_turn"), F.round(F.coalesce(0.7 * six[0] + 0.3 * six[1], six[0]), 5).alias("blended"))
+    return found.select("pair_id", six[0].alias("h_logical"), F.round(six[1], 5).alias("cross_turn"), (F.floor(F.coalesce(0.7 * six[0] + 0.3 * six[1], six[0]) * 1e5 + 0.5001) / 1e5).alias("blended"))
 
 
 @query()

@@ -99,7 +99,7 @@ def generated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_ASKED}, items AS (SELECT item_id AS doc_id, text FROM benchmark), {jaccard_sql("items", "asked")}, b AS (SELECT query_id, max(similarity) AS best FROM ranked WHERE rank <= 5 GROUP BY 1)
-    SELECT query_id, round(best, 6) AS best, CASE WHEN best IS NULL OR round(1 - best, 9) > 1 - 0.1 THEN 0.5 ELSE 0.25 END AS divergence FROM asked LEFT JOIN b USING (query_id)""")
+    SELECT query_id, round(best, 6) AS best, CASE WHEN best IS NULL OR round(1 - best, 9) > 1 - 0.1 THEN 0.5 ELSE 0.25 END::DOUBLE AS divergence FROM asked LEFT JOIN b USING (query_id)""")
 def abstentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions whose evidence is too far off for a verdict."""
     items, questions = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), asked(spark, sf_dir)
@@ -112,13 +112,13 @@ _REPLY = """CASE event_id % 5 WHEN 0 THEN '{{"verdict": "yes", "confidence": ' |
 
 @query(f"""WITH {views.SQL["audit"]}, r AS (SELECT event_id, 1 - score AS score, {_REPLY.format()} AS reply FROM audit),
     p AS (SELECT *, abs(score - 0.5) < 0.3 AS escalated, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS agrees, CASE event_id % 5 WHEN 0 THEN least(1.0, (event_id % 130) / 100) ELSE 0.5 END AS c FROM r)
-    SELECT event_id, escalated, agrees, round(round(CASE WHEN escalated AND reply IS NOT NULL THEN greatest(0.0, least(1.0, (1 - 0.3 * c) * score + 0.3 * c * CASE WHEN agrees THEN 0.2 ELSE 0.8 END)) ELSE score END, 9), 6) AS adjusted FROM p""")
+    SELECT event_id, escalated, agrees, floor((CASE WHEN escalated AND reply IS NOT NULL THEN greatest(0.0, least(1.0, (1 - 0.3 * c) * score + 0.3 * c * CASE WHEN agrees THEN 0.2 ELSE 0.8 END)) ELSE score END) * 1e6 + 0.5001) / 1e6 AS adjusted FROM p""")
 def judged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uncertain scores blended with a judge's replies."""
     k = F.col("event_id") % 5
     reply = F.when(k == 0, F.concat(F.lit('{"verdict": "yes", "confidence": '), (F.col("event_id") % 130).cast("string"), F.lit("}"))).when(k == 1, '{"verdict": "NO"}').when(k == 2, "Yes, it does").when(k == 3, "no idea")
     rows = views.audit(spark, sf_dir).select("event_id", (1 - F.col("score")).alias("score"), reply.alias("reply"))
-    return search.judged(rows).select("event_id", "escalated", "agrees", F.round(F.round("adjusted", 9), 6).alias("adjusted"))
+    return search.judged(rows).select("event_id", "escalated", "agrees", (F.floor(F.col("adjusted") * 1e6 + 0.5001) / 1e6).alias("adjusted"))
 
 
 @query()
