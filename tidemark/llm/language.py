@@ -35,6 +35,8 @@ SMOOTHING = 0.05
 TYPICAL = 2.0
 #: Bytes that are hashed at once.
 BLOCK_BYTES = 1 << 20
+#: Languages that are sent to all tasks at most, some dozen bytes each.
+MOST_BROADCAST = 1_000_000
 #: Languages whose sums a task holds at once, 128 KB each.
 HELD_LANGS = 256
 #: Spaces between texts: one fewer than the longest n-gram.
@@ -138,7 +140,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not limits:
         return LanguageModel([], np.zeros((0, 1), np.int8), np.zeros((DIMS, 1), np.float32), np.zeros(1), 1.0)
     known = docs.sparkSession.createDataFrame(limits, "lang string, most bigint")
-    drawn = rows.join(known, "lang").where(draw < F.col("most")).select("lang", "text")
+    # One row a language, counted just now; texts must not travel by language, which a third of them may share.
+    drawn = rows.join(F.broadcast(known) if len(limits) <= MOST_BROADCAST else known, "lang").where(draw < F.col("most")).select("lang", "text")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of the rows' n-gram frequencies; a vector is given out when the language changes or the batches end."""
