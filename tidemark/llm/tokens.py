@@ -25,15 +25,33 @@ CHUNK_CHARS, OVERLAP_CHARS = 32_768, 256
 SPACE = "▁"
 
 
+#: Texts that normalisers change: compatibility forms, runs of spaces, composed letters, control characters.
+PROBES = ("\ufb01 \uff21\u3000x", "  a  b ", "\u00e9 e\u0301", "a\tb\nc", "A\u00ad\u2126")
+
+
 class PieceCounter:
-    """Counts and boundaries of a SentencePiece BPE model whose normaliser only turns spaces into U+2581."""
+    """Counts and boundaries of a SentencePiece BPE model.
+
+    Chunks need a normaliser that only turns spaces into U+2581, which is tried on ``PROBES``; under any other a text is
+    encoded in one call, however long.
+    """
 
     def __init__(self, path: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.model.get_piece_size()
         plain = [self.model.id_to_piece(i) for i in range(size) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
+        self.chunks = all(self.untouched(t) for t in PROBES)
         self.inside = {a + b for p in plain for a, b in zip(p, p[1:], strict=False)}
 
+    def untouched(self, text: str) -> bool:
+        """Whether the pieces of a text are the text itself, with U+2581 for spaces and perhaps one in front."""
+        made = []
+        for k, piece in enumerate(self.model.encode(text, return_type="proto").pieces):
+            if not self.model.is_byte(piece.id) and piece.piece not in (piece.surface.replace(" ", SPACE), SPACE * (k == 0) + piece.surface.replace(" ", SPACE)):
+                return False
+            made.append(piece.surface)
+        return "".join(made) == text
+
     def boundaries(self, chunk: str) -> list[int]:
         """Character offsets at which a token of the chunk's encoding ends, in order, with repeats within a character."""
         found = self.model.encode(chunk, return_type="proto").pieces
@@ -53,7 +71,7 @@ class PieceCounter:
     def count(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
         """Number of tokens of the whole text."""
         n = len(text)
-        if n <= chunk:
+        if n <= chunk or not self.chunks:
             return len(self.model.encode(text))
         total, start, splice = 0, 0, -1  # tokens before `splice` are counted; the chunk from `start` is being read
         stop = min(n, start + chunk)
