@@ -5,6 +5,7 @@ import io
 import itertools
 import math
 import random
+import re
 import unicodedata
 from collections import defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import calibration, chunks, documents, graphs, guards, logic, policies, prefix, provenance, records, retrieval, search, sequential, service, streams, verification
+from tidemark.operators import calibration, chunks, documents, further, graphs, guards, logic, policies, prefix, provenance, records, retrieval, safety, search, sequential, service, streams, verification
 from tidemark.sources import formats, shared
 
 
@@ -225,6 +226,43 @@ def test_merkle_proofs(spark):
     assert len(proofs) == len(rows) and all(r["end"] == roots[r["g"]] for r in proofs)
 
 
+def test_active_versions(spark):
+    steps = [("promote", 1, None), ("publish", 1, None), ("promote", 1, 1), ("publish", 3, 1), ("publish", 2, 1), ("promote", 2, 1), ("promote", 3, 3), ("rollback", None, 1), ("rollback", None, 1), ("none", 9, 1), ("promote", 3, 3)]
+    rows = [(t, i * 10, i, a, v) for t in (1, 2) for i, (a, v, _) in enumerate(steps)]
+    got = further.active_versions(spark.createDataFrame(rows, "tenant long, micros long, event_id long, action string, version long").repartition(3)).orderBy("tenant", "event_id").collect()
+    assert [r["active"] for r in got] == [want for _, _, want in steps] * 2
+
+
+def test_pii_spans(spark):
+    texts = [(1, "mail a.b@c.org or 555-123-4567; SSN 123-45-6789"), (2, "é 10.0.0.1 é MRN: 99"), (3, None), (4, "nothing")]
+    got = {(r["k"], r["kind"], r["start"], r["end"]) for r in further.pii_spans(spark.createDataFrame(texts, "k int, t string"), "k", "t").collect()}
+    want = {(k, kind, m.start(), m.end()) for k, t in texts if t for kind, p in safety.PII.items() for m in re.finditer(p, t)}
+    assert got == want and {(1, "email", 5, 14), (1, "ssn", 36, 47)} <= got
+
+
+def test_text_classes(spark):
+    rng = random.Random(4)
+    rows = [(i, "ab"[i % 2], rng.gauss(3.0 * (i % 2), 0.5), rng.gauss(-2.0 * (i % 2), 0.5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, kind string, x double, y double")
+    got = further.text_classes(df.where("k < 100"), df, ["x", "y"], "kind", "k", {"a": 0.7}, 0.6, gate=0.6).collect()
+    assert sum(r["kind"] == "ab"[r["k"] % 2] for r in got) >= 195
+    assert all(0.5 <= r["confidence"] <= 1 and r["threshold"] == (0.7 if r["kind"] == "a" and r["confidence"] >= 0.6 else 0.6) for r in got)
+
+
+def test_echoes_against_all_pairs(spark):
+    rng = random.Random(10)
+    base = ["".join(rng.choices("abcd ", k=60)).strip() for _ in range(6)]
+    rows = [(i, ("assistant", "user")[i % 3 == 0], base[rng.randrange(6)][: rng.randrange(15, 60)] + "".join(rng.choices("abxyz", k=rng.randrange(0, 12)))) for i in range(120)]
+    got = {r["seq"]: (r["output"], r["likeness"]) for r in further.echoes(spark.createDataFrame(rows, "seq long, role string, text string"), within=40, least=0.5).collect()}
+    grams = {i: {t.strip().lower()[k : k + 3] for k in range(len(t.strip()) - 2)} if len(t.strip(" ")) >= 20 else None for i, _, t in rows}
+    want = {}
+    for i, role, _ in rows:
+        found = [(round(len(grams[i] & grams[j]) / len(grams[i] | grams[j]), 9), -j) for j, other, _ in rows if role == "user" and other == "assistant" and i - 40 <= j < i and grams[i] and grams[j]]
+        if found and max(found)[0] >= 0.5:
+            want[i] = (-max(found)[1], max(found)[0])
+    assert got == want and len(want) > 5
+
+
 def test_formulas_against_all_assignments(spark):
     rng = random.Random(5)
     rows = [(k, [[rng.choice((1, -1)) * rng.randrange(1, 6) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(0, 14))]) for k in range(200)] + [(900, [[]]), (901, None)]

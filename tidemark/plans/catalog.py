@@ -667,4 +667,4 @@ def privacy_accountant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from tidemark.plans import agentic, calibration, chunked, evidence, guards, policies, search  # noqa: E402, F401  their queries join the register
-from tidemark.plans import records, service  # noqa: E402, F401, I001  after those whose SQL they quote
+from tidemark.plans import further, records, service  # noqa: E402, F401, I001  after those whose SQL they quote
