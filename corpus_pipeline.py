@@ -57,8 +57,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty; extra columns stay, whatever their names.
     """
     rows = keyed(docs)
-    found = exact.exact_dedup(rows, id_col=at(docs, "doc_id"), text_col=at(docs, "text"), row_col=ROW)
-    return only(rows, found.where("kept"), docs.columns)
+    return only(rows, exact.kept_rows(rows, ROW, id_col=at(docs, "doc_id"), text_col=at(docs, "text")), docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

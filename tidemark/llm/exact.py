@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.texts import SPACE_BYTES, id_type, marked, utf8
-from tidemark.sources.shared import store
+from tidemark.sources.shared import Scratch, store
 
 #: Bytes of labels that a level-1 trie holds before it spills a subtree.
 TRIE_BYTES = 48_000_000
@@ -117,15 +117,17 @@ def rank(points: int, doc_id: object, row: int) -> tuple:
     return (-points, doc_id is None, doc_id if doc_id is not None else 0, row)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES, row_col: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES, row_col: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Classes of texts that are equal without ASCII white space.
 
     Returns one row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``. Of equal texts the row with the
     most code points in its original text stays, then the one with the smallest id; of rows that repeat an id and a
     length, one stays. Null texts count as empty; a null id sorts last; an empty table gives an empty result; other
-    columns are ignored. ``row_col`` names a long that tells rows apart; it is returned as a last column.
+    columns are ignored. ``row_col`` names a long that tells rows apart; it is returned as a last column. The result reads
+    a table in ``scratch``, which its owner may drop once the result is written.
     """
     kind = id_type(docs, id_col)
+    scratch = scratch or Scratch(docs.sparkSession)
     rows = marked(docs, row_col, [(id_col, "doc_id"), (text_col, "text")])
     id_arrow = to_arrow_type(next(f.dataType for f in docs.schema.fields if f.name == id_col))
 
@@ -179,7 +181,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.record_batch([pa.array(ids, id_arrow), pa.array(range(first, row), pa.int64()), pa.array(out_term, pa.int64()), empty, empty, pa.array(out_len, pa.int64()), pa.array(out_sha, pa.binary()), pa.nulls(n, pa.binary()), batch.column(2)], names)
         yield from spilled(trie.drain())
 
-    level1 = store(rows.mapInArrow(local, f"doc_id {kind}, row bigint, term bigint, points bigint, copies bigint, n_bytes bigint, sha binary, body binary, mark bigint"), "exact-terms")
+    level1 = scratch.store(rows.mapInArrow(local, f"doc_id {kind}, row bigint, term bigint, points bigint, copies bigint, n_bytes bigint, sha binary, body binary, mark bigint"), "exact-terms")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def named() -> pa.RecordBatch:
@@ -215,3 +217,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     members = level1.where(F.col("body").isNull()).select("doc_id", "row", "term", "sha", "mark")
     return members.join(owners, "term").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *([F.col("mark").alias(row_col)] if row_col else []))
+
+
+def kept_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row_col`` of the rows that stay, in a table of their own; what led to them is dropped."""
+    scratch = Scratch(docs.sparkSession)
+    kept = store(exact_dedup(docs, id_col, text_col, row_col=row_col, scratch=scratch).where("kept").select(row_col), "exact-kept")
+    scratch.drop()
+    return kept
