@@ -33,8 +33,9 @@ def echoes(turns: DataFrame, within: int = 1000, least: float = 0.5, shortest: i
     w = Window.partitionBy("seq").orderBy("f", "gram")
     # A set of n shares at least ceil(least * n) members with a like one, so one of its n - that + 1 rarest.
     kept = ranked.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("n") - F.ceil(F.round(least * F.col("n"), 9)) + 1)
-    a, b = kept.where("role = 'user'").select("gram", "seq"), kept.where("role = 'assistant'").select("gram", F.col("seq").alias("output"))
-    near = a.join(b, "gram").where((F.col("output") < F.col("seq")) & (F.col("output") >= F.col("seq") - within)).select("seq", "output").distinct()
+    a, b = kept.where("role = 'user'").select("gram", "seq", "n"), kept.where("role = 'assistant'").select("gram", F.col("seq").alias("output"), F.col("n").alias("m"))
+    sized = F.least("n", "m") >= F.round(least * F.greatest("n", "m"), 9)  # sets of too different sizes are not alike
+    near = a.join(b, "gram").where((F.col("output") < F.col("seq")) & (F.col("output") >= F.col("seq") - within) & sized).select("seq", "output").distinct()
     met = near.join(t.select("seq", F.col("g").alias("x")), "seq").join(t.select(F.col("seq").alias("output"), F.col("g").alias("y")), "output")
     scored = met.select("seq", "output", F.round(T.jaccard(F.col("x"), F.col("y")), 9).alias("likeness")).where(F.col("likeness") >= least)
     best = scored.groupBy("seq").agg(F.max(F.struct("likeness", (-F.col("output")).alias("o"))).alias("b"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import ast
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -53,9 +53,21 @@ def disguise_report(texts: DataFrame, column: str = "text") -> DataFrame:
     return safety.injection_score(hidden).groupBy("disguise").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("blocked"))
 
 
-def code_report(df: DataFrame, known: Iterable[str], column: str = "code") -> DataFrame:
-    """``parses`` and ``unknown_imports`` (sorted top-level module names outside ``known``) of Python source; it is parsed, never run."""
-    allowed = frozenset(known)
+def code_report(df: DataFrame, known: Iterable[str], column: str = "code", manifest: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
+    """Adds ``parses``, ``unknown_imports`` (sorted top-level module names outside ``known``) and ``unknown_calls`` of Python source.
+
+    Unknown calls (sorted, as written) are those of a name in ``manifest`` whose attribute is not among its names. Source is
+    parsed, never run; null is empty source, which parses.
+    """
+    allowed, named = frozenset(known), {k: frozenset(v) for k, v in (manifest or {}).items()}
+
+    def dotted(node: ast.expr) -> str | None:
+        """``a.b.c`` for such an expression."""
+        parts: list[str] = []
+        while isinstance(node, ast.Attribute):
+            parts.append(node.attr)
+            node = node.value
+        return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
 
     def check(code: pd.Series) -> pd.DataFrame:
         out = []
@@ -63,16 +75,18 @@ def code_report(df: DataFrame, known: Iterable[str], column: str = "code") -> Da
             try:
                 tree = ast.parse(text)
             except (SyntaxError, ValueError, RecursionError, MemoryError):
-                out.append((False, []))
+                out.append((False, [], []))
                 continue
             names = {a.name.split(".")[0] for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names}
             names |= {n.module.split(".")[0] for n in ast.walk(tree) if isinstance(n, ast.ImportFrom) and n.module and not n.level}
-            out.append((True, sorted(names - allowed)))
-        return pd.DataFrame(out, columns=["parses", "unknown_imports"])
+            calls = {c for n in ast.walk(tree) if isinstance(n, ast.Call) and (c := dotted(n.func)) and "." in c}
+            odd = [c for c in calls if (head := c.split(".")[0]) in named and c.split(".")[1] not in named[head]]
+            out.append((True, sorted(names - allowed), sorted(odd)))
+        return pd.DataFrame(out, columns=["parses", "unknown_imports", "unknown_calls"])
 
     check.__annotations__ = {"code": pd.Series, "return": pd.DataFrame}
-    udf = F.pandas_udf(check, "parses boolean, unknown_imports array<string>")
-    return df.withColumn("r", udf(F.col(column))).select(*df.columns, "r.parses", "r.unknown_imports")
+    udf = F.pandas_udf(check, "parses boolean, unknown_imports array<string>, unknown_calls array<string>")
+    return df.withColumn("r", udf(F.col(column))).select(*df.columns, "r.parses", "r.unknown_imports", "r.unknown_calls")
 
 
 def leaves(value: object, path: str = "") -> list[tuple[str, str]]:

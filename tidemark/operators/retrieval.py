@@ -81,21 +81,24 @@ def multi_vector(reps: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
     return top(best, F.col("similarity"), n)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, n: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, n: int = 5, k1: float = 1.2, b: float = 0.75, tenant: str | None = None) -> DataFrame:
     """``query_id, doc_id, score, rank``; idf = ln((N - df + 0.5) / (df + 0.5) + 1), statistics over all documents.
 
-    A query term counts as often as the query repeats it. Weights are summed as whole billionths, so the sums do not
-    depend on the order of rows and aggregate on the map side.
+    A query term counts as often as the query repeats it. ``tenant`` names a column of both sides: only documents of the
+    query's own tenant are ranked, the statistics stay those of all. Weights are summed as whole billionths, so the sums
+    do not depend on the order of rows and aggregate on the map side.
     """
-    listed = docs.select("doc_id", T.find_all(F.lower("text"), T.WORD).alias("tokens")).select("doc_id", F.size("tokens").alias("length"), "tokens")
+    owner = lambda: (F.col(tenant) if tenant else F.lit(0)).alias("tenant")
+    listed = docs.select("doc_id", owner(), T.find_all(F.lower("text"), T.WORD).alias("tokens")).select("doc_id", "tenant", F.size("tokens").alias("length"), "tokens")
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(T.find_all(F.lower("text"), T.WORD))).alias("mean_length"))
     q = terms(queries, "query_id").select("query_id", "term", F.col("tf").alias("q_tf"))
     out = sent_out(q)
     # Only terms that a query has are dealt and counted further; a document's terms stay together from there on.
-    used = listed.select("doc_id", "length", F.explode("tokens").alias("term")).join(out(q.select("term").distinct()), "term", "left_semi")
-    used = used.repartition("doc_id").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    used = listed.select("doc_id", "tenant", "length", F.explode("tokens").alias("term")).join(out(q.select("term").distinct()), "term", "left_semi")
+    used = used.repartition("doc_id").groupBy("doc_id", "tenant", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = used.join(out(q.join(df, "term")), "term").crossJoin(F.broadcast(stats))  # stats is one row
+    asked = q.join(queries.select("query_id", owner()).withColumnRenamed("tenant", "q_tenant"), "query_id") if tenant else q.withColumn("q_tenant", F.lit(0))
+    rows = used.join(out(asked.join(df, "term")), "term").where(F.col("tenant").eqNullSafe(F.col("q_tenant"))).crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("q_tf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     scored = rows.groupBy("query_id", "doc_id").agg((F.sum(F.round(weight * 1e9).cast("bigint")) / 1e9).alias("score"))

@@ -38,14 +38,19 @@ def disguised_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.disguise_report(turns)
 
 
-_CODE = r"CASE event_id % 4 WHEN 0 THEN 'import os, json' WHEN 1 THEN 'from numpy.linalg import norm' WHEN 2 THEN 'def f(:' ELSE 'x = ' || event_id END"
+_MODULE = "'m' || (l_partkey % 9)"
 
 
-@query("""SELECT event_id, event_id % 4 <> 2 AS parses, CASE event_id % 4 WHEN 1 THEN 'numpy' ELSE '' END AS unknown_imports FROM events""")
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag <> 'R' AS parses, CASE WHEN l_returnflag = 'R' OR l_partkey % 9 IN (1, 2, 3) THEN '' ELSE {_MODULE} END AS unknown_imports, CASE WHEN l_returnflag <> 'R' AND l_suppkey % 3 = 0 THEN 'pd.f' || l_suppkey || '.x' ELSE '' END AS unknown_calls FROM lineitem""")
 def code_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Syntax and unknown imports of source texts."""
-    code = table(spark, sf_dir, "events").select("event_id", F.expr(_CODE).alias("code"))
-    return G.code_report(code, ("os", "json")).select("event_id", "parses", F.array_join("unknown_imports", ",").alias("unknown_imports"))
+    """A short source for each order line: syntax, unknown imports, calls that a manifest does not have."""
+    li = table(spark, sf_dir, "lineitem")
+    module = F.concat(F.lit("m"), (F.col("l_partkey") % 9).cast("string"))
+    call = F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("pd.f"), F.col("l_suppkey").cast("string"), F.lit(".x"))).otherwise("pd.read_csv")
+    code = F.concat(F.lit("import "), module, F.lit("\nfrom os.path import join\n\nasync def f(a, *b):\n    return ["), call, F.lit("(x) for x in b if "), F.col("l_quantity").cast("string"), F.when(F.col("l_returnflag") == "R", ")").otherwise("]"))
+    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", code.alias("code"))
+    found = G.code_report(rows, ("os", "m1", "m2", "m3"), manifest={"pd": {"read_csv", "merge"}})
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "parses", F.array_join("unknown_imports", ",").alias("unknown_imports"), F.array_join("unknown_calls", ",").alias("unknown_calls"))
 
 
 @query("SELECT event_id, key AS path, value::VARCHAR AS leaf FROM (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events), LATERAL (SELECT json_extract(props, '$.' || key) AS value)")

@@ -39,6 +39,17 @@ def reranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.reranked(table(spark, sf_dir, "documents"), benchmark(spark, sf_dir)).select("query_id", "doc_id", *r6("relevance"), "rank")
 
 
+_OWN = BM25.replace("AS rank FROM b)", "AS rank FROM b WHERE query_id % 3 = doc_id % 3)")
+
+
+@query(f"WITH {_OWN} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 5")
+def tenant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each passage's own tenant by BM25 (top-k report); tenants are ids modulo 3."""
+    docs = table(spark, sf_dir, "documents").withColumn("owner", F.col("doc_id") % 3)
+    queries = benchmark(spark, sf_dir).withColumn("owner", F.col("query_id") % 3)
+    return retrieval.bm25(docs, queries, tenant="owner").select("query_id", "doc_id", *r6("score"), "rank")
+
+
 _TOKENS = "t AS (SELECT vec_id // 4 AS doc_id, vec_id AS tok, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL)"
 
 
