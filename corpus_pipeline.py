@@ -37,8 +37,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def only(rows: DataFrame, kept: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of a keyed table whose key is in ``kept``, under their own names."""
-    return rows.join(kept.select(ROW), ROW, "left_semi").drop(ROW).toDF(*names)
+    """Rows of a keyed table whose key is in ``kept``, under their own names.
+
+    Keys compress to little, so Spark would take millions for a small table: they are merged, not broadcast.
+    """
+    return rows.join(kept.select(ROW).hint("merge"), ROW, "left_semi").drop(ROW).toDF(*names)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +83,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
     times = mixing.mix(rows, id_col=at(docs, "doc_id"), text_col=at(docs, "text"), source_col=at(docs, "source"), row_col=ROW)
     times = times.select(ROW, F.col("times").cast("int").alias("times")).where("times > 0")
-    taken = rows.join(times, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    taken = rows.join(times.hint("merge"), ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return taken.drop(ROW, "times", "copy").toDF(*docs.columns)
 
 
