@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import text as T
 from tidemark.functions.lexicons import NLI_NEGATION
 from tidemark.operators import evidence as E
 from tidemark.operators import documents, pairs, retrieval, safety
 from tidemark.plans import sqltext as S
-from tidemark.plans.catalog import ATTACKED, BM25, PHRASE, SENTENCES, SETS, attacked
+from tidemark.plans.catalog import ATTACKED, BM25, PHRASE, SENTENCES, attacked
 from tidemark.plans.registry import QUERIES, SQL, query, r6
 from tidemark.sources import views
 from tidemark.sources.tables import table

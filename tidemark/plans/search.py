@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import graphs, logic, retrieval, search
-from tidemark.plans import sqltext as S
-from tidemark.plans.catalog import BM25, EDGES, SETS
-from tidemark.plans.registry import SQL, longs, query, r6
+from tidemark.plans.catalog import BM25, SETS
+from tidemark.plans.registry import SQL, query, r6
 from tidemark.sources import views
 from tidemark.sources.tables import table
 
