@@ -173,7 +173,11 @@ def load(path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBPE:
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every whole text: ``doc_id, ids array<int>, n_tokens``. Null texts count as empty and have no ids."""
+    """Ids of every whole text: ``doc_id, ids array<int>, n_tokens``, one row for each row.
+
+    Null texts count as empty and have no ids; null and repeated ids, and repeated rows, are returned as they come. An empty
+    table gives an empty result; other columns are ignored, whatever their names.
+    """
     path = path or public_tokenizers.path(RANKS_FILE)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -53,7 +53,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, row_col: str | None = None) -> DataFrame:
-    """``doc_id, fp, mark``: the fingerprint of each row as a signed long, and the row's key (null without ``row_col``)."""
+    """``doc_id, fp, mark``: the fingerprint of each row as a signed long, and the row's key (null without ``row_col``).
+
+    One row for each row, repeated ones and null ids included; null texts are empty and have fingerprint zero. An empty table gives
+    an empty result; other columns are ignored, whatever their names.
+    """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t, width) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
@@ -112,7 +116,11 @@ def linked(keys: np.ndarray, fps: np.ndarray, bits: int = 2) -> np.ndarray:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """``a, b``: links between distinct fingerprints (column ``fp``) that connect all within two differing bits."""
+    """``a, b``: links between distinct fingerprints (column ``fp``) that connect all within two differing bits.
+
+    Not every such pair is a link, but its two are connected by links. ``fp`` is not null and, as a rule, distinct: repeats only
+    cost work. An empty table gives no links; other columns are ignored.
+    """
 
     def posted(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = batch.column(0).to_numpy(zero_copy_only=False)
@@ -155,7 +163,8 @@ def links(distinct: DataFrame) -> DataFrame:
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """``node, root``: the smallest node of each component, for every node of the edges ``a, b``.
 
-    Large-star and small-star rounds alternate until a round changes nothing. Each round is two aggregations and two
+    Nodes are longs. Edges may repeat and point either way; an edge of a node with itself is no edge, and a node without another has no
+    row. Null ends are no edge. Large-star and small-star rounds alternate until a round changes nothing. Each round is two aggregations and two
     joins over the edges and ends in a written table; nothing is gathered by node, so a hub costs no task its size.
     """
 
