@@ -58,12 +58,13 @@ def atomic_claims(text: Column) -> Column:
     return F.when(F.size(claims) > 0, claims).otherwise(sentences)
 
 
-def budget_chunks(sentences: Column, budget: int) -> Column:
+def budget_chunks(sentences: Column, budget: int, sizes: Column | None = None) -> Column:
     """Sentences packed in order into chunks of at most ``budget`` estimated tokens; a chunk begins with the last sentence of the one before.
 
-    A sentence over the budget is a chunk with the one before it.
+    A sentence over the budget is a chunk with the one before it. Both arrays are read once a step, so they should be columns,
+    not expressions; ``sizes`` holds the sentences' estimates.
     """
-    sizes = F.transform(sentences, token_estimate)
+    sizes = F.transform(sentences, token_estimate) if sizes is None else sizes
     start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(1).alias("a"), F.lit(0).alias("t"))
 
     def step(acc: Column, i: Column) -> Column:
@@ -78,9 +79,9 @@ def budget_chunks(sentences: Column, budget: int) -> Column:
     return F.transform(packed, lambda x: F.array_join(F.slice(sentences, x["a"], F.greatest(x["b"] - x["a"] + 1, F.lit(0))), " "))
 
 
-def sliding_chunks(sentences: Column, budget: int, overlap: float) -> Column:
+def sliding_chunks(sentences: Column, budget: int, overlap: float, sizes: Column | None = None) -> Column:
     """Chunks of at most ``budget`` tokens, one sentence at least, each starting ``1 - overlap`` of the sentences of the one before further on."""
-    sizes = F.transform(sentences, token_estimate)
+    sizes = F.transform(sentences, token_estimate) if sizes is None else sizes
     n = F.size(sentences)
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     upto = F.transform(places, lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x))
@@ -105,15 +106,19 @@ def chunked(df: DataFrame, key: str, premise: str = "premise", hypothesis: str =
     """
     prem_budget, hyp_budget = int(max_length * premise_ratio), int(max_length * (1 - premise_ratio))
 
-    def pieces(text: Column, budget: int) -> Column:
-        sentences = nli_sentences(text)
-        many = (token_estimate(text) > budget) & (F.size(sentences) > 1)
-        packed = sliding_chunks(sentences, budget, overlap) if overlap > 0 else budget_chunks(sentences, budget)
-        return F.when(many, packed).otherwise(F.array(text))
+    def pieces(side: str, budget: int) -> Column:
+        many = (token_estimate(F.col(side)) > budget) & (F.size(f"{side}s") > 1)
+        sentences, sizes = F.col(f"{side}s"), F.col(f"{side}t")
+        packed = sliding_chunks(sentences, budget, overlap, sizes) if overlap > 0 else budget_chunks(sentences, budget, sizes)
+        return F.when(many, packed).otherwise(F.array(F.col(side)))
 
+    # Sentences and sizes are columns before the folds read them: an expression in a lambda runs again at every step.
     texts = df.select(F.col(key).alias("k"), F.coalesce(F.col(premise), F.lit("")).alias("p"), F.coalesce(F.col(hypothesis), F.lit("")).alias("h"))
-    split = texts.select("k", pieces(F.col("p"), prem_budget).alias("ps"), pieces(F.col("h"), hyp_budget).alias("hs"))
-    rows = split.select("k", F.size("ps").alias("n_premise"), F.size("hs").alias("n_hypothesis"), "ps", F.posexplode("hs").alias("i", "hypothesis")).select("k", "n_premise", "n_hypothesis", "i", "hypothesis", F.explode("ps").alias("premise"))
+    texts = texts.select("k", "p", "h", nli_sentences(F.col("p")).alias("ps"), nli_sentences(F.col("h")).alias("hs"))
+    texts = texts.select("*", F.transform("ps", token_estimate).alias("pt"), F.transform("hs", token_estimate).alias("ht"))
+    split = texts.select("k", pieces("p", prem_budget).alias("ps"), pieces("h", hyp_budget).alias("hs"))
+    # No list is empty. The outer forms keep Spark from filtering on the lists' sizes below the folds, which would run them anew.
+    rows = split.select("k", F.size("ps").alias("n_premise"), F.size("hs").alias("n_hypothesis"), "ps", F.posexplode_outer("hs").alias("i", "hypothesis")).select("k", "n_premise", "n_hypothesis", "i", "hypothesis", F.explode_outer("ps").alias("premise"))
     scored = pairs.heuristic_nli(rows).select("k", "n_premise", "n_hypothesis", "i", F.round("nli", 9).alias("d"))
     combine = {"max": F.max, "min": F.min, "mean": lambda c: F.sum(F.round(F.col(c) * 1e9).cast("bigint")) / 1e9 / F.count(F.lit(1))}
     by_chunk = scored.groupBy("k", "n_premise", "n_hypothesis", "i").agg(combine[inner]("d").alias("d"))
