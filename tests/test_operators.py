@@ -81,6 +81,23 @@ def test_live_halts_agree_with_batch(spark, sf_dir, tmp_path):
     assert live == batch
 
 
+def test_live_halts_in_pieces_out_of_order(spark, tmp_path):
+    # Sessions longer than an Arrow batch, whose files come last tokens first.
+    rows = [(s, i, 100 if s and i >= 10 * s and i % 10 == 0 else 900) for s in range(4) for i in range(60)]
+    for k, part in enumerate((rows[3::4], rows[2::4], rows[1::4], rows[::4])):
+        spark.createDataFrame(part[::-1], "session bigint, idx bigint, milli bigint").coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+    stream = spark.readStream.schema("session bigint, idx bigint, milli bigint").parquet(str(tmp_path / "in" / "k=*"))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        q = live_halts(stream).writeStream.outputMode("update").format("memory").queryName("cut_halts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.set(size, before)
+    assert {r["session"]: (r["n_emitted"], r["halted"]) for r in spark.table("cut_halts").collect()} == {0: (60, False), 1: (10, True), 2: (20, True), 3: (30, True)}
+
+
 def test_event_time_windows(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert windowed_rates(events).agg(F.sum("n")).first()[0] == events.count()
