@@ -482,3 +482,18 @@ def test_quality_chunks_cover_everything():
     for i, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
         own = [(s, e) for d, s, e in zip(doc, start, end, strict=True) if d == i]
         assert own and own[0][0] == a and own[-1][1] == b and all(p[1] >= q[0] for p, q in zip(own, own[1:], strict=False))
+
+
+def test_passages_in_the_middle_of_a_group(spark):
+    # All texts share 40 words, too few for a passage; two each go on alike, so that their pair is one in a large group.
+    rng = random.Random(5)
+
+    def own(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    stem, texts = [f"s{k}" for k in range(40)], []
+    for _ in range(24):
+        end = own(12)
+        texts += [" ".join(own(60) + stem + own(1) + end + own(60)) for _ in range(2)]
+    found = {r["doc_id"]: r["class_id"] for r in substrings.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert found == {i: i - i % 2 for i in range(48)}
