@@ -497,3 +497,25 @@ def test_passages_in_the_middle_of_a_group(spark):
         texts += [" ".join(own(60) + stem + own(1) + end + own(60)) for _ in range(2)]
     found = {r["doc_id"]: r["class_id"] for r in substrings.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert found == {i: i - i % 2 for i in range(48)}
+
+
+def test_windows_that_share_a_line_only_are_no_candidates():
+    # 200 rows share 16 words, two in ten of them a passage with one changed word: only such pairs remain, and all of them.
+    rng = np.random.default_rng(6)
+    line, rows = rng.integers(0, 1 << 32, 16), []
+    for k in range(200):
+        parts = [rng.integers(0, 1 << 32, 60), line, rng.integers(0, 1 << 32, 60)]
+        if k % 10 == 1:
+            passage = rows[k - 1][40:120].copy()
+            passage[66] = k
+            parts = [rng.integers(0, 1 << 32, 30), passage, rng.integers(0, 1 << 32, 30)]
+        elif k % 10 == 2:
+            parts[0] = np.tile(line[:9], 6)  # repeated words need few distinct shingles
+        rows.append(np.concatenate(parts).astype(np.uint64))
+    size, group = np.array([len(r) for r in rows]), np.zeros(200, np.int64)
+    for one in (np.ones(200, bool), np.arange(200) % 10 != 1):
+        two = one if one.all() else ~one
+        i, j = substrings.sharing(np.concatenate(rows), size, group, one, two, lambda i, j: (i > j) | ~one[j], 46, 0.8)
+        want = {(x, y) for x in np.flatnonzero(one).tolist() for y in np.flatnonzero(two).tolist() if (x > y or not one[y]) and substrings.near_stretches(rows[x], rows[y], 50, 0.8)}
+        got = set(zip(i.tolist(), j.tolist(), strict=True))
+        assert len(want) >= 20 and want <= got and len(got) <= 2 * len(want), (len(want), len(got))
